@@ -35,7 +35,7 @@ def safe_corr(a: str, b: str):
     """Pearson r; NULL when either column is constant. Constancy is tested on the values, not on a variance that
     rounding may leave above zero."""
     varies = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
-    return F.when(varies, F.corr(a, b))
+    return F.when(varies, ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def pearson_pairs(df: DataFrame, keys: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:

@@ -11,8 +11,8 @@ from effortloom.functions.numbers import ratio, rnd
 from effortloom.operators.classify import TASKS
 from effortloom.operators.roles import CORE, EXTERNAL, UNKNOWN
 
-# Measure names of the export and the roll-up columns they come from.
-MEASURES = {"nt": "n_t", "no": "n_o", "module": "module", "line": "line", "t": "contributors"}
+# Measure names of the export.
+MEASURES = ["nt", "no", "module", "line", "t"]
 ROLES = [CORE, EXTERNAL, UNKNOWN]
 ROLE_COLUMNS = [f"{m}_{r.lower()}" for r in ROLES for m in MEASURES]
 
@@ -20,20 +20,12 @@ ROLE_COLUMNS = [f"{m}_{r.lower()}" for r in ROLES for m in MEASURES]
 def wide_export(releases: DataFrame, rollup: DataFrame, tasks: Sequence[str] = TASKS) -> DataFrame:
     """Every release times every task class, with NULL measures where a role made no such commit.
 
-    The three roles are turned into columns by one conditional aggregation, so the releases take part in a single
-    left join instead of three.
+    ``rollup`` already has the roles as columns, so the releases take part in a single left join instead of three.
     """
-    sides = rollup.groupBy("project", "version", "task").agg(
-        *[
-            F.max(F.when(F.col("role") == r, F.col(source))).alias(f"{m}_{r.lower()}")
-            for r in ROLES
-            for m, source in MEASURES.items()
-        ]
-    )
     grid = releases.select("project", "version", "date", "t_module", "t_line").withColumn(
         "task", F.explode(F.array(*[F.lit(t) for t in tasks]))
     )
-    return grid.join(sides, ["project", "version", "task"], "left").select(
+    return grid.join(rollup, ["project", "version", "task"], "left").select(
         "project", "version", "date", "task", "t_module", "t_line", *ROLE_COLUMNS
     )
 

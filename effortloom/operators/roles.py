@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from effortloom.operators.ordered import attach
-
 CORE, EXTERNAL, UNKNOWN = "CC", "EC", "UC"
 
 
-def all_contributors(commits: DataFrame, users: DataFrame, projects: DataFrame) -> DataFrame:
-    """Real (not fake) committers per project. Commits collapse to distinct pairs before they meet the users."""
+def all_contributors(commits: DataFrame, users: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Real (not fake) committers per project, of all projects or those listed. Commits collapse to distinct pairs
+    before they meet the users."""
     pairs = commits.select("project_id", "committer_id").where(F.col("committer_id").isNotNull()).distinct()
     real = users.where(~F.col("fake")).select(F.col("id").alias("committer_id"), F.col("login").alias("committer_login"))
-    return (
-        pairs.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
-        .join(real, "committer_id")
-        .select("project_id", "committer_id", "committer_login")
-        .distinct()
-    )
+    named = _of_projects(pairs, projects).join(real, "committer_id")
+    return named.select("project_id", "committer_id", "committer_login")
 
 
 def core_contributors(
-    pull_requests: DataFrame, history: DataFrame, users: DataFrame, projects: DataFrame, action: str = "merged"
+    pull_requests: DataFrame,
+    history: DataFrame,
+    users: DataFrame,
+    projects: DataFrame | None = None,
+    action: str = "merged",
 ) -> DataFrame:
     """Users who merged a pull request of the project."""
     acts = history.where(F.col("action") == action).select("pull_request_id", "actor_id").distinct()
     base = pull_requests.select(F.col("id").alias("pull_request_id"), F.col("base_repo_id").alias("project_id"))
     names = users.select(F.col("id").alias("committer_id"), F.col("login").alias("committer_login"))
-    return (
-        acts.join(base, "pull_request_id")
-        .select("project_id", F.col("actor_id").alias("committer_id"))
-        .distinct()
-        .join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
-        .join(names, "committer_id")
-        .select("project_id", "committer_id", "committer_login")
-        .distinct()
-    )
+    pairs = acts.join(base, "pull_request_id").select("project_id", F.col("actor_id").alias("committer_id")).distinct()
+    return _of_projects(pairs, projects).join(names, "committer_id").select("project_id", "committer_id", "committer_login")
+
+
+def _of_projects(pairs: DataFrame, projects: DataFrame | None) -> DataFrame:
+    if projects is None:
+        return pairs
+    return pairs.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
 
 
 def external_contributors(everyone: DataFrame, core: DataFrame) -> DataFrame:
@@ -59,64 +57,72 @@ def role_table(core: DataFrame, external: DataFrame) -> DataFrame:
     return both.groupBy("project_id", "committer_id").agg(F.min("role").alias("role"))
 
 
-def role_rollup(facts: DataFrame, roles: DataFrame, *, fanout: bool = False) -> DataFrame:
-    """Effort per project, version, task and role, for all of them in one job.
+def role_rollup_wide(facts: DataFrame, roles: DataFrame, *, fanout: bool = False) -> DataFrame:
+    """Effort per project, version and task with the measures of all three roles side by side, in one pass.
 
     ``facts`` holds one row per classified commit: project, version, task, committer_id, module, line. Commits are
-    summed per committer before the role join, so neither a busy committer nor the commits without one meet the
-    join as raw rows. ``n_o`` counts the commits of other tasks in the version (for unknown commits: the unknown
-    ones); unknown contributors number -1. ``fanout=True`` matches the committer in any project, once per project
-    the committer has that role in, which is how effort gets counted several times when roles are not scoped.
+    summed per committer before the role join, so a busy committer is a few rows by then and the commits without a
+    committer are one row per task. ``no`` counts the commits of other tasks in the version (for unknown commits: the
+    unknown ones); unknown contributors number -1. ``fanout=True`` matches the committer in any project, once per
+    project that gives the role, which is how effort gets counted several times when roles are not scoped.
     """
-    per_person = facts.groupBy("project", "version", "task", "committer_id").agg(
+    group = ["project", "version", "task"]
+    per_person = facts.groupBy(*group, "committer_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("module").alias("module"), F.sum("line").alias("line")
     )
+    times = [F.count_if(F.col("role") == x).alias(f"is_{x.lower()}") for x in (CORE, EXTERNAL)]
     if fanout:
-        spread = roles.groupBy("committer_id", "role").agg(F.count(F.lit(1)).alias("times"))
-        known = per_person.join(spread, "committer_id")
+        matched = per_person.join(roles.groupBy("committer_id").agg(*times), "committer_id", "left")
     else:
-        spread = roles.select(F.col("project_id").alias("project"), "committer_id", "role", F.lit(1).alias("times"))
-        known = per_person.join(spread, ["project", "committer_id"])
-    known = known.select(
-        "project", "version", "task", "role", "committer_id",
-        *[(F.col(c) * F.col("times")).alias(c) for c in ("n", "module", "line")],
-    )
-    unknown = per_person.where(F.col("committer_id").isNull()).select(
-        "project", "version", "task", F.lit(UNKNOWN).alias("role"), "committer_id", "n", "module", "line"
-    )
-    effort = (
-        known.unionByName(unknown)
-        .groupBy("project", "version", "task", "role")
-        .agg(
-            F.sum("n").alias("n_t"),
-            F.sum("module").alias("module"),
-            F.sum("line").alias("line"),
-            F.count("committer_id").alias("people"),
-        )
-    )
-    per_task = per_person.groupBy("project", "version", "task").agg(
-        F.sum("n").alias("_all"), F.sum(F.when(F.col("committer_id").isNull(), F.col("n"))).alias("_unknown")
+        scoped = roles.withColumnRenamed("project_id", "project").groupBy("project", "committer_id").agg(*times)
+        matched = per_person.join(scoped, ["project", "committer_id"], "left")
+    matched = matched.withColumn("is_uc", F.col("committer_id").isNull().cast("bigint"))
+
+    def side(role, source):
+        weight = F.col(f"is_{role}")
+        return F.sum(F.when(weight > 0, F.col(source) * weight))
+
+    effort = matched.groupBy(*group).agg(
+        F.sum("n").alias("_all"),
+        *[side(x, c).alias(f"{name}_{x}") for x in ("cc", "ec", "uc") for name, c in (("nt", "n"), ("module", "module"), ("line", "line"))],
+        *[F.count_if(F.col(f"is_{x}") > 0).alias(f"t_{x}") for x in ("cc", "ec")],
     )
     version = Window.partitionBy("project", "version")  # one row per task class
-    other = per_task.select(
-        "project",
-        "version",
-        "task",
-        (F.sum("_all").over(version) - F.col("_all")).alias("_o_all"),
-        (F.coalesce(F.sum("_unknown").over(version), F.lit(0)) - F.coalesce(F.col("_unknown"), F.lit(0))).alias("_o_uc"),
-    )
-    is_unknown = F.col("role") == UNKNOWN
-    return attach(effort, other, ["project", "version", "task"]).select(
-        "project",
-        "version",
-        "task",
-        "role",
-        "n_t",
-        F.when(is_unknown, F.col("_o_uc")).otherwise(F.col("_o_all")).alias("n_o"),
-        "module",
-        "line",
-        F.when(is_unknown, F.lit(-1).cast("bigint")).otherwise(F.col("people")).alias("contributors"),
+    unknown = F.coalesce("nt_uc", F.lit(0))
+    others = {"uc": F.sum(unknown).over(version) - unknown}
+    others["cc"] = others["ec"] = F.sum("_all").over(version) - F.col("_all")
+    people = {"cc": F.col("t_cc"), "ec": F.col("t_ec"), "uc": F.lit(-1).cast("bigint")}
+    columns = []
+    for x in ("cc", "ec", "uc"):
+        seen = F.col(f"nt_{x}").isNotNull()
+        columns += [
+            F.col(f"nt_{x}"),
+            F.when(seen, others[x]).alias(f"no_{x}"),
+            F.col(f"module_{x}"),
+            F.col(f"line_{x}"),
+            F.when(seen, people[x]).alias(f"t_{x}"),
+        ]
+    return effort.select(*group, *columns)
+
+
+def role_rollup(facts: DataFrame, roles: DataFrame, *, fanout: bool = False) -> DataFrame:
+    """The wide roll-up as one row per project, version, task and role that made a commit."""
+    wide = role_rollup_wide(facts, roles, fanout=fanout)
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(x).alias("role"),
+                F.col(f"nt_{x.lower()}").alias("n_t"),
+                F.col(f"no_{x.lower()}").alias("n_o"),
+                F.col(f"module_{x.lower()}").alias("module"),
+                F.col(f"line_{x.lower()}").alias("line"),
+                F.col(f"t_{x.lower()}").alias("contributors"),
+            )
+            for x in (CORE, EXTERNAL, UNKNOWN)
+        ]
     )
+    rows = wide.select("project", "version", "task", F.explode(sides).alias("_s")).where(F.col("_s.n_t").isNotNull())
+    return rows.select("project", "version", "task", "_s.*")
 
 
 def other_task_count(tasks: DataFrame) -> DataFrame:

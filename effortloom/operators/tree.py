@@ -43,10 +43,10 @@ def best_splits(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str,
         counts.where(F.col("feature") == 0)
         .groupBy(*keys)
         .agg(
-            F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.min("lo").alias("lo"),
+            F.sum("n").alias("node_n"), F.sum("s").alias("node_s"), F.sum("q").alias("node_q"), F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
         )
-        .where((F.col("N") >= min_split) & (F.col("lo") < F.col("hi")))
+        .where((F.col("node_n") >= min_split) & (F.col("lo") < F.col("hi")))
         .drop("lo", "hi")
     )
     placed = ordered(
@@ -55,9 +55,9 @@ def best_splits(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str,
     ).where(F.col("v_prev").isNotNull())
     open_splits = attach(placed, nodes, keys)
     nl, sl = F.col("n_to") - F.col("n"), F.col("s_to") - F.col("s")
-    nr, sr = F.col("N") - nl, F.col("S") - sl
-    sst = F.col("Q") - F.col("S") * F.col("S") / F.col("N")
-    gain = (sl * sl / nl + sr * sr / nr - F.col("S") * F.col("S") / F.col("N")) / F.nullif(sst, F.lit(0.0))
+    nr, sr = F.col("node_n") - nl, F.col("node_s") - sl
+    sst = F.col("node_q") - F.col("node_s") * F.col("node_s") / F.col("node_n")
+    gain = (sl * sl / nl + sr * sr / nr - F.col("node_s") * F.col("node_s") / F.col("node_n")) / F.nullif(sst, F.lit(0.0))
     threshold = (F.col("v_prev") + F.col("v")) / 2
     ranked = open_splits.select(
         *keys,

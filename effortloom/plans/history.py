@@ -63,12 +63,12 @@ def task_histogram(spark, d):
 
 @query("all_contributors", sql("SELECT * FROM everyone"))
 def all_contributors(spark, d):
-    return s.everyone(spark, d)
+    return roles.all_contributors(s.contributor_commits(spark, d), s.users(spark, d), s.projects(spark, d))
 
 
 @query("core_contributors", sql("SELECT * FROM core"))
 def core_contributors(spark, d):
-    return s.core(spark, d)
+    return roles.core_contributors(s.merge_requests(spark, d), s.merge_history(spark, d), s.users(spark, d), s.projects(spark, d))
 
 
 @query("external_contributors", sql("SELECT * FROM external"))
@@ -117,8 +117,7 @@ def unknown_commits_rollup(spark, d):
 )
 def role_rollup_fanout(spark, d):
     """Core effort with the contributor join not scoped to the project."""
-    table = roles.role_table(s.core(spark, d), s.external(spark, d))
-    spread = roles.role_rollup(s.facts(spark, d), table, fanout=True)
+    spread = roles.role_rollup(s.facts(spark, d), s.role_table(spark, d), fanout=True)
     return spread.where(F.col("role") == roles.CORE).drop("role", "n_o")
 
 

@@ -369,7 +369,7 @@ def train_test_split(spark, d):
             UNION ALL SELECT project, 'EC', count(nt_ec), {big('sum(nt_ec)')} FROM dataset GROUP BY 1"""),
 )
 def concat_results(spark, d):
-    rows = s.dataset(spark, d)
+    rows = s.pinned_dataset(spark, d)
     sides = [
         rows.groupBy("project").agg(F.count(f"nt_{x}").alias("n"), F.sum(f"nt_{x}").alias("nt")).withColumn("role", F.lit(x.upper()))
         for x in ("cc", "ec")

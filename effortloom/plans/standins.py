@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effortloom.operators import classify, export, releases, roles
+from effortloom.session import pin
 from effortloom.sources.tables import load
 
 # Words found in part names, so that several classes are populated.
@@ -42,16 +43,21 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """Files and lines per commit and the part of its first line."""
+    """Files and lines per commit and the part of its first line (smallest line number, then smallest part).
+
+    The pair is packed into one long - line numbers stay far below 2^23 and part keys below 2^40 - because a minimum
+    over a struct cannot be kept in a hash aggregation and would sort every line item.
+    """
+    first = F.shiftleft(F.col("l_linenumber").cast("bigint"), 40) + F.col("l_partkey")
     return (
         load(spark, d, "lineitem")
         .groupBy(F.col("l_orderkey").alias("sha"))
         .agg(
             F.count(F.lit(1)).alias("e_module"),
             F.sum("l_quantity").cast("bigint").alias("e_line"),
-            F.min(F.struct("l_linenumber", "l_partkey")).alias("_first"),
+            F.min(first).alias("_first"),
         )
-        .select("sha", "e_module", "e_line", F.col("_first.l_partkey").alias("p_partkey"))
+        .select("sha", "e_module", "e_line", F.col("_first").bitwiseAND(F.lit(2**40 - 1)).alias("p_partkey"))
     )
 
 
@@ -100,19 +106,23 @@ def merge_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def everyone(spark: SparkSession, d: str) -> DataFrame:
-    return roles.all_contributors(contributor_commits(spark, d), users(spark, d), projects(spark, d))
+    return roles.all_contributors(contributor_commits(spark, d), users(spark, d))
 
 
 def core(spark: SparkSession, d: str) -> DataFrame:
-    return roles.core_contributors(merge_requests(spark, d), merge_history(spark, d), users(spark, d), projects(spark, d))
+    return roles.core_contributors(merge_requests(spark, d), merge_history(spark, d), users(spark, d))
 
 
 def external(spark: SparkSession, d: str) -> DataFrame:
     return roles.external_contributors(everyone(spark, d), core(spark, d))
 
 
+def role_table(spark: SparkSession, d: str) -> DataFrame:
+    return roles.role_table(core(spark, d), external(spark, d))
+
+
 def role_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return roles.role_rollup(facts(spark, d), roles.role_table(core(spark, d), external(spark, d)))
+    return roles.role_rollup(facts(spark, d), role_table(spark, d))
 
 
 def release_effort(spark: SparkSession, d: str) -> DataFrame:
@@ -133,12 +143,18 @@ def release_table(spark: SparkSession, d: str) -> DataFrame:
 
 def dataset(spark: SparkSession, d: str) -> DataFrame:
     """The wide release dataset; a series has one row per month, so its windows are bounded by the calendar."""
-    return export.wide_export(release_table(spark, d), role_rollup(spark, d), PART_TASKS)
+    rollup = roles.role_rollup_wide(facts(spark, d), role_table(spark, d))
+    return export.wide_export(release_table(spark, d), rollup, PART_TASKS)
+
+
+def pinned_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The dataset for plans that read it more than once: the scans of the large tables run a single time."""
+    return pin(dataset(spark, d))
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    """The dataset with the totals of the release before, and 0 for everything missing."""
-    return releases.lag_totals(dataset(spark, d), ["project", "task"], bounded=True).fillna(0)
+    """The dataset with the totals of the release before, and 0 for everything missing; pinned."""
+    return pin(releases.lag_totals(dataset(spark, d), ["project", "task"], bounded=True).fillna(0))
 
 
 def review_requests(spark: SparkSession, d: str) -> DataFrame:
