@@ -32,31 +32,20 @@ def best_splits(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str,
         rows.select(*keys, F.col(y).cast("double").alias("_y"), cells.alias("_c"))
         .groupBy(*keys, F.col("_c.feature").alias("feature"), F.col("_c.v").alias("v"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("_y").alias("s"),
-            F.sum(F.col("_y") * F.col("_y")).alias("q"),
-            F.min("_y").alias("lo"),
-            F.max("_y").alias("hi"),
+            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q")
         )
     )
-    nodes = (
-        counts.where(F.col("feature") == 0)
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("node_n"), F.sum("s").alias("node_s"), F.sum("q").alias("node_q"), F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        )
-        .where((F.col("node_n") >= min_split) & (F.col("lo") < F.col("hi")))
-        .drop("lo", "hi")
-    )
     placed = ordered(
-        counts.drop("q", "lo", "hi"), [*keys, "feature"], ["v"],
-        running={"n_to": "n", "s_to": "s"}, previous={"v_prev": "v"}, **kwargs,
-    ).where(F.col("v_prev").isNotNull())
-    open_splits = attach(placed, nodes, keys)
+        counts, [*keys, "feature"], ["v"], running={"n_to": "n", "s_to": "s"}, previous={"v_prev": "v"},
+        totals={"node_n": "n", "node_s": "s", "node_q": "q"}, **kwargs,
+    )
+    sst = F.col("node_q") - F.col("node_s") * F.col("node_s") / F.col("node_n")
+    # A node whose targets are all equal keeps only rounding noise in sst and is a leaf.
+    open_splits = placed.where(
+        F.col("v_prev").isNotNull() & (F.col("node_n") >= min_split) & (sst > 1e-12 * F.col("node_q"))
+    )
     nl, sl = F.col("n_to") - F.col("n"), F.col("s_to") - F.col("s")
     nr, sr = F.col("node_n") - nl, F.col("node_s") - sl
-    sst = F.col("node_q") - F.col("node_s") * F.col("node_s") / F.col("node_n")
     gain = (sl * sl / nl + sr * sr / nr - F.col("node_s") * F.col("node_s") / F.col("node_n")) / F.nullif(sst, F.lit(0.0))
     threshold = (F.col("v_prev") + F.col("v")) / 2
     ranked = open_splits.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,26 @@ def build_session(master: str | None = None, name: str = "effortloom", **conf) -
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. A folder of this machine is taken only where none is
+    named and the session runs in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="effortloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared checkpoint folder, so that a lost executor costs a re-read only.
+    """Cut the lineage of ``df`` by writing it as a table in the shared folder and reading that.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A folder of this machine is taken only
-    where none is named and the session runs in local mode.
+    A lost executor then costs a re-read only. A table is preferred over an RDD checkpoint because the plan on top of
+    it starts with the true size, so small results are broadcast by the optimizer's own check, and with none of the
+    constraints of the plan below, which grow without limit in a level-by-level loop.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="effortloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
