@@ -124,8 +124,8 @@ def clt_check(count: Column, nobs: Column) -> tuple[Column, Column]:
 
 
 def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[str] = (), **kwargs) -> DataFrame:
-    """Normality statistic W and p-value by Royston's published approximation; needs 12 or more values per key
-    for the p-value and 6 for W. A constant sample has no W."""
+    """Normality statistic W and p-value by Royston's published approximation, for six or more values per key. A
+    constant sample has no W."""
     keys = list(keys)
     placed = ordered(
         df.where(F.col(value).isNotNull()).select(*keys, *identity, F.col(value).cast("double").alias("_x")),
@@ -161,11 +161,19 @@ def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[s
     )
     top = F.col("mx") / F.sqrt(rest) + a1 * (F.col("xn") - F.col("x1")) + a2 * (F.col("xn1") - F.col("x2"))
     w = F.when((F.col("n") >= 6) & (F.col("xn") > F.col("x1")), F.least(ratio(top * top, "ss"), F.lit(1.0)))
-    log_n = F.log("n")
-    mean = poly((0.0038915, -0.083751, -0.31082, -1.5861), log_n)
-    spread = F.exp(poly((0.0030302, -0.082676, -0.4803), log_n))
-    out = sums.select(*keys, F.col("n").cast("bigint").alias("n"), w.alias("statistic"), ((F.log(1 - w) - mean) / spread).alias("_z"))
-    return out.withColumn("p", F.when(F.col("n") >= 12, norm_sf("_z"))).drop("_z")
+    n, log_n, gap = F.col("n"), F.log("n"), F.log(1 - F.col("statistic"))
+    few = n < 12
+    mean = F.when(few, poly((-0.0006714, 0.025054, -0.39978, 0.5440), n)).otherwise(
+        poly((0.0038915, -0.083751, -0.31082, -1.5861), log_n)
+    )
+    spread = F.exp(
+        F.when(few, poly((-0.0020322, 0.062767, -0.77857, 1.3822), n)).otherwise(poly((0.0030302, -0.082676, -0.4803), log_n))
+    )
+    bound = poly((0.459, -2.273), n)
+    small = F.when(few & (gap < bound), -F.log(bound - gap))
+    z = (F.when(few, small).otherwise(gap) - mean) / spread
+    out = sums.select(*keys, "n", w.alias("statistic")).withColumn("p", norm_sf(z))
+    return out.withColumn("n", F.col("n").cast("bigint"))
 
 
 def choose_one_sample(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effortloom.operators.ordered import ordered
+from effortloom.session import pin
 
 SERIES_ORDER = ("date", "t_line", "version")
 
@@ -34,42 +35,40 @@ def assign_release(commits: DataFrame, releases: DataFrame, key: str = "project"
     return commits.join(found, [key, date], "left")
 
 
-def commits_of_ranges(tags: DataFrame, parents: DataFrame, max_steps: int = 10_000) -> DataFrame:
+def commits_of_ranges(tags: DataFrame, parents: DataFrame, max_steps: int = 100_000) -> DataFrame:
     """Exact ancestry rule: commits reachable from a tag but not from the tag before it.
 
-    ``tags`` (project, version, previous, sha, previous_sha); ``parents`` (project, sha, parent). Each step walks one
-    generation for all ranges at once and stops when no range grows; reached commits are pinned so that the plan
-    stays flat. ``max_steps`` only guards against cyclic input and raises instead of cutting the result.
+    ``tags`` (project, version, sha, previous_sha); ``parents`` (project, sha, parent). One step walks a generation
+    of all ranges of all projects at once. Each generation is a pinned table of the commits first seen there; the
+    seen ones are re-pinned as one table from time to time, so the plan stays short. ``max_steps`` only guards against
+    endless input and raises instead of cutting the result.
     """
-    from effortloom.session import pin
-
-    starts = tags.select("project", "version", F.col("sha").alias("sha"), F.lit(True).alias("wanted")).unionByName(
+    compact = 16
+    name = ["project", "version", "sha", "wanted"]
+    starts = tags.select("project", "version", "sha", F.lit(True).alias("wanted")).unionByName(
         tags.where(F.col("previous_sha").isNotNull()).select(
             "project", "version", F.col("previous_sha").alias("sha"), F.lit(False).alias("wanted")
         )
     )
-    edges = parents.select("project", "sha", "parent")
-    reached = pin(starts.distinct())
-    frontier = reached
-    for _ in range(max_steps):
-        step = (
+    edges = parents.where(F.col("parent").isNotNull()).select("project", "sha", "parent")
+    frontier = pin(starts.distinct())
+    seen = frontier
+    for step in range(1, max_steps + 1):
+        older = (
             frontier.join(edges, ["project", "sha"])
-            .where(F.col("parent").isNotNull())
             .select("project", "version", F.col("parent").alias("sha"), "wanted")
             .distinct()
         )
-        frontier = pin(step.join(reached, ["project", "version", "sha", "wanted"], "left_anti"))
+        frontier = pin(older.join(seen, name, "left_anti"))
         if frontier.isEmpty():
             break
-        reached = pin(reached.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if step % compact == 0:
+            seen = pin(seen)
     else:
-        raise ValueError("the parent table has a cycle or is deeper than max_steps")
-    return (
-        reached.groupBy("project", "version", "sha")
-        .agg(F.bool_and("wanted").alias("wanted"))
-        .where("wanted")
-        .drop("wanted")
-    )
+        raise ValueError("the parent table is deeper than max_steps")
+    found = seen.groupBy("project", "version", "sha").agg(F.bool_and("wanted").alias("wanted"))
+    return found.where("wanted").drop("wanted")
 
 
 def tag_pairs(tags: DataFrame, key: str = "project", bounded: bool = False) -> DataFrame:
