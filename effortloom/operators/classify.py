@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from effortloom.functions.numbers import ColumnLike, as_col
 from effortloom.operators.ordered import attach
+from effortloom.session import pin
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -35,9 +36,7 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def task_rank(message: ColumnLike, rules: Rules = TASK_RULES) -> Column:
-    """Index of the first rule with a word in the lower-cased message; ``len(rules)`` when there is none."""
-    text = F.lower(as_col(message))
+def _rank(text: Column, rules: Rules) -> Column:
     found = reduce(
         lambda chain, rule: chain.when(contains_any(text, rule[1][1]), F.lit(rule[0])),
         enumerate(rules[1:], 1),
@@ -46,14 +45,22 @@ def task_rank(message: ColumnLike, rules: Rules = TASK_RULES) -> Column:
     return found.otherwise(F.lit(len(rules)))
 
 
+def with_task_rank(df: DataFrame, message: str, name: str, rules: Rules = TASK_RULES) -> DataFrame:
+    """Add the index of the first rule with a word in the lower-cased message, ``len(rules)`` when there is none.
+
+    The lower-cased text is a column of its own, so that a long text is converted once and not once per word.
+    """
+    return df.withColumn("_text", F.lower(message)).withColumn(name, _rank(F.col("_text"), rules)).drop("_text")
+
+
 def task_name(rank: ColumnLike, rules: Rules = TASK_RULES) -> Column:
     names = F.array(*[F.lit(task) for task, _ in rules], F.lit(OTHER))
     return F.element_at(names, as_col(rank) + 1)
 
 
-def task_of(message: ColumnLike, rules: Rules = TASK_RULES) -> Column:
-    """The class of one message taken alone."""
-    return task_name(task_rank(message, rules), rules)
+def with_task(df: DataFrame, message: str, name: str = "task", rules: Rules = TASK_RULES) -> DataFrame:
+    """Add the class of each message taken alone."""
+    return with_task_rank(df, message, "_rank", rules).withColumn(name, task_name("_rank", rules)).drop("_rank")
 
 
 def classify_tasks(
@@ -67,10 +74,11 @@ def classify_tasks(
     """Exclusive classes: within a project a SHA belongs to the earliest class any of its messages matches, in every
     version, and its messages of later classes are dropped.
 
-    The earliest class is a ``min`` with map-side partial sums; a SHA copied into very many versions never gathers
-    in one task.
+    The texts are read once: what is left of them, a rank per message, is pinned and then read twice. The earliest
+    class is a ``min`` with map-side partial results and is joined back, so a SHA copied into very many versions never
+    gathers in one task.
     """
-    ranked = messages.select(key, sha, *keep, task_rank(message, rules).alias("_rank"))
+    ranked = pin(with_task_rank(messages, message, "_rank", rules).select(key, sha, *keep, "_rank"))
     first = ranked.groupBy(key, sha).agg(F.min("_rank").alias("_first"))
     kept = attach(ranked, first, [key, sha]).where(F.col("_rank") == F.col("_first"))
     return kept.select(key, *keep, sha, task_name("_rank", rules).alias("task"))

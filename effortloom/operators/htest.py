@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from effortloom.functions.numbers import ratio
 from effortloom.functions.special import binomial_cdf, chi2_sf, norm_cdf, norm_ppf, norm_sf, student_two_sided
-from effortloom.operators.ordered import attach, mid_ranks, ordered
+from effortloom.operators.ordered import attach, counted, ordered
 
 
 def _moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -39,12 +39,17 @@ def _tie_term(n: str = "n") -> Column:
     return F.sum(t * t * t - t)
 
 
-def signed_rank(df: DataFrame, value: str, median: float, keys: Sequence[str] = (), **kwargs) -> DataFrame:
+def signed_rank(
+    df: DataFrame, value: str, median: float, keys: Sequence[str] = (), bounded: bool = False, rows_per_task: int | None = None
+) -> DataFrame:
     """Signed ranks of ``value - median``, alternative: less; zeros dropped, normal approximation with ties."""
     keys = list(keys)
     gaps = df.select(*keys, (F.col(value) - median).alias("_d")).where("_d <> 0")
     signed = gaps.groupBy(*keys, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("copies"), F.count_if(F.col("_d") > 0).alias("plus"))
-    placed = ordered(signed, keys, ["_a"], running={"upto": "copies"}, totals={"size": "copies"}, **kwargs)
+    signed, small = counted(signed, gaps, keys, bounded, rows_per_task)
+    placed = ordered(
+        signed, keys, ["_a"], running={"upto": "copies"}, totals={"size": "copies"}, bounded=small, rows_per_task=rows_per_task
+    )
     rank = F.col("upto") - (F.col("copies") - 1) / 2
     stats = placed.groupBy(*keys).agg(
         F.max("size").alias("n"), F.sum(rank * F.col("plus")).alias("statistic"), _tie_term("copies").alias("ties")
@@ -55,54 +60,54 @@ def signed_rank(df: DataFrame, value: str, median: float, keys: Sequence[str] =
     return stats.select(*keys, "n", "statistic", z.alias("z")).withColumn("p", norm_cdf("z"))
 
 
-def _sample_ranks(df, value, sample, keys, **kwargs):
-    """Rank sums per sample, and size and tie term per key."""
+def _sample_ranks(df, value, sample, keys, samples, bounded=False, rows_per_task=None):
+    """One row per key: its size and tie term, and for every sample its size and rank sum.
+
+    ``samples`` maps column suffixes to sample values. Each distinct value keeps its copies per sample in columns, so
+    the ranked values are summed up in place.
+    """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, sample, value).agg(F.count(F.lit(1)).alias("k"))
-    totals = counts.groupBy(*keys, value).agg(F.sum("k").alias("n"))
-    placed = ordered(totals, keys, [value], running={"upto": "n"}, totals={"size": "n"}, **kwargs)
-    ranks = placed.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
-    ties = ranks.groupBy(*keys).agg(F.max("size").alias("size"), _tie_term().alias("ties"))
-    sums = (
-        attach(counts, ranks.select(*keys, value, "rank"), [*keys, value])
-        .groupBy(*keys, sample)
-        .agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k")).alias("rank_sum"))
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(sample) == F.lit(v)).alias(f"k_{t}") for t, v in samples.items()]
+    )
+    counts, small = counted(counts, known, keys, bounded, rows_per_task)
+    placed = ordered(
+        counts, keys, [value], running={"upto": "n"}, totals={"size": "n"}, bounded=small, rows_per_task=rows_per_task
+    )
+    rank = F.col("upto") - (F.col("n") - 1) / 2
+    return placed.groupBy(*keys).agg(
+        F.max("size").cast("double").alias("size"),
+        _tie_term().alias("ties"),
+        *[F.sum(f"k_{t}").cast("double").alias(f"n_{t}") for t in samples],
+        *[F.sum(rank * F.col(f"k_{t}")).alias(f"r_{t}") for t in samples],
     )
-    return sums, ties
 
 
 def mann_whitney(df: DataFrame, value: str, sample: str, first, second, keys: Sequence[str] = (), **kwargs) -> DataFrame:
     """Two-sided rank test of two samples with tie and continuity correction; U belongs to ``first``."""
     keys = list(keys)
-    sums, ties = _sample_ranks(df.where(F.col(sample).isin(first, second)), value, sample, keys, **kwargs)
-    pick = lambda which, col: F.max(F.when(F.col(sample) == F.lit(which), F.col(col)))
-    sides = sums.groupBy(*keys).agg(
-        pick(first, "n").cast("double").alias("n1"), pick(second, "n").cast("double").alias("n2"),
-        pick(first, "rank_sum").alias("r1"),
-    )
-    size = F.col("size").cast("double")
-    n1, n2 = F.col("n1"), F.col("n2")
-    u1 = F.col("r1") - n1 * (n1 + 1) / 2
+    both = df.where(F.col(sample).isin(first, second))
+    sums = _sample_ranks(both, value, sample, keys, {"1": first, "2": second}, **kwargs)
+    size, n1, n2 = F.col("size"), F.col("n_1"), F.col("n_2")
+    u1 = F.col("r_1") - n1 * (n1 + 1) / 2
     spread = F.sqrt((1 - F.col("ties") / (size * size * size - size)) * n1 * n2 * (size + 1) / 12)
     z = ratio(F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5, spread)
-    return attach(sides, ties, keys).select(*keys, "n1", "n2", u1.alias("statistic"), z.alias("z")).withColumn(
-        "p", F.least(2 * norm_sf("z"), F.lit(1.0))
-    )
-
-
-def kruskal(df: DataFrame, value: str, sample: str, groups: int, keys: Sequence[str] = (), **kwargs) -> DataFrame:
-    """Rank test of ``groups`` samples: H with tie correction and its chi-square tail."""
-    keys = list(keys)
-    sums, ties = _sample_ranks(df, value, sample, keys, **kwargs)
-    spread = sums.groupBy(*keys).agg(
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_q"), F.count(F.lit(1)).alias("samples")
-    )
-    size = F.col("size").cast("double")
-    raw = 12 / (size * (size + 1)) * F.col("_q") - 3 * (size + 1)
+    out = sums.select(*keys, n1.alias("n1"), n2.alias("n2"), u1.alias("statistic"), z.alias("z"))
+    return out.withColumn("p", F.least(2 * norm_sf("z"), F.lit(1.0)))
+
+
+def kruskal(df: DataFrame, value: str, sample: str, samples: Sequence, keys: Sequence[str] = (), **kwargs) -> DataFrame:
+    """Rank test of the listed samples: H with tie correction and its chi-square tail."""
+    keys, tags = list(keys), {str(i): v for i, v in enumerate(samples)}
+    sums = _sample_ranks(df.where(F.col(sample).isin(*samples)), value, sample, keys, tags, **kwargs)
+    size = F.col("size")
+    squares = sum((F.coalesce(ratio(F.col(f"r_{t}") * F.col(f"r_{t}"), f"n_{t}"), F.lit(0.0)) for t in tags), F.lit(0.0))
+    present = sum(((F.col(f"n_{t}") > 0).cast("bigint") for t in tags), F.lit(0).cast("bigint"))
+    raw = 12 / (size * (size + 1)) * squares - 3 * (size + 1)
     h = ratio(raw, 1 - F.col("ties") / (size * size * size - size))
-    return attach(spread, ties, keys).select(*keys, "samples", F.col("size").alias("n"), h.alias("statistic")).withColumn(
-        "p", chi2_sf("statistic", groups - 1)
-    )
+    out = sums.select(*keys, present.alias("samples"), size.cast("bigint").alias("n"), h.alias("statistic"))
+    return out.withColumn("p", chi2_sf("statistic", len(tags) - 1))
 
 
 def proportion_z(count: Column, nobs: Column, p0: float) -> tuple[Column, Column]:

@@ -29,7 +29,10 @@ def same_key(left: str, right: str, keys: Sequence[str]):
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a one-row-per-key table back to its rows; NULL keys match. No hint: a small table is broadcast by the
-    optimizer's own size check and a hot key is split by the adaptive skew join."""
+    optimizer's own size check and a hot key is split by the adaptive skew join. Without keys the table is the single
+    row of a global aggregate."""
+    if not keys:
+        return df.crossJoin(F.broadcast(table))
     new = [c for c in table.columns if c not in keys]
     return (
         df.alias("l")
@@ -38,6 +41,26 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     )
 
 
+def fits_in_task(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> bool:
+    """Whether the largest key has few enough rows for one task: a scan of the key columns with map-side counts."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0]
+    return largest is None or largest <= (rows_per_task or ROWS_PER_TASK)
+
+
+def counted(
+    counts: DataFrame, rows: DataFrame, keys: Sequence[str], bounded: bool = False, rows_per_task: int | None = None
+) -> tuple[DataFrame, bool]:
+    """Prepare a table of distinct values for ordering: is any key of it too large for a task?
+
+    Keys with few rows have few values, which the rows answer without the shuffle that counts values. Otherwise the
+    counted values are pinned, since they are read again by the ordering.
+    """
+    if bounded or fits_in_task(rows, keys, rows_per_task):
+        return counts, True
+    return pin(counts), False
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -129,13 +152,19 @@ def _ordered_ranges(df, keys, order, position, previous, running, totals, size,
     return joined.select(*out)
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, **kwargs) -> DataFrame:
+def value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False, rows_per_task: int | None = None
+) -> DataFrame:
     """One row per distinct value with its copies ``n``, the rows up to it ``upto`` and the key size ``size``.
 
     Copies collapse before any ordering, so a value that fills a third of the table is one row here.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return ordered(counts, keys, [value], running={"upto": "n"}, totals={"size": "n"}, **kwargs)
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts, small = counted(counts, known, keys, bounded, rows_per_task)
+    return ordered(
+        counts, keys, [value], running={"upto": "n"}, totals={"size": "n"}, bounded=small, rows_per_task=rows_per_task
+    )
 
 
 def quantiles(

@@ -21,14 +21,15 @@ def assign_release(commits: DataFrame, releases: DataFrame, key: str = "project"
     """
     tagged = releases.groupBy(key, date).agg(F.min("version").alias("_version"))
     days = commits.select(key, date).distinct().withColumn("_version", F.lit(None).cast("string"))
-    ahead = (
+    # Backwards in time, so that the frame grows row by row instead of being walked anew for every day.
+    later = (
         Window.partitionBy(key)
-        .orderBy(date, F.col("_version").isNotNull())
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        .orderBy(F.col(date).desc(), F.col("_version").isNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = (
         days.unionByName(tagged)
-        .withColumn("version", F.first("_version", ignorenulls=True).over(ahead))
+        .withColumn("version", F.last("_version", ignorenulls=True).over(later))
         .where(F.col("_version").isNull())
         .select(key, date, "version")
     )

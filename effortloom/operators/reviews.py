@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 def pr_commit_match(tagged: DataFrame, pull_requests: DataFrame) -> DataFrame:
     """Pull requests whose base or head commit is one of the tagged commits.
 
-    ``tagged`` (project_id, commit_id, project, version, task). The either-or condition is a union of two equality
-    joins; a single join on the disjunction would compare every pair.
+    ``tagged`` (project_id, commit_id, project, version, task). Either-or becomes one equality join: a pull request is
+    listed under each of its ends first. A join on the disjunction itself would compare every pair.
     """
-
-    def side(name):
-        ends = pull_requests.select(
-            F.col("id").alias("pr_id"),
-            "pullreq_id",
-            F.col(f"{name}_repo_id").alias("project_id"),
-            F.col(f"{name}_commit_id").alias("commit_id"),
-        )
-        return tagged.join(ends, ["project_id", "commit_id"]).select(
-            "project_id", "project", "version", "task", "pr_id", "pullreq_id"
-        )
-
-    return side("base").unionByName(side("head")).distinct()
+    ends = F.array(
+        *[
+            F.struct(F.col(f"{end}_repo_id").alias("project_id"), F.col(f"{end}_commit_id").alias("commit_id"))
+            for end in ("base", "head")
+        ]
+    )
+    listed = pull_requests.select(F.col("id").alias("pr_id"), "pullreq_id", F.explode(F.array_distinct(ends)).alias("_end"))
+    listed = listed.select("pr_id", "pullreq_id", "_end.*").where(F.col("commit_id").isNotNull())
+    matched = tagged.join(listed, ["project_id", "commit_id"])
+    return matched.select("project_id", "project", "version", "task", "pr_id", "pullreq_id").distinct()
 
 
 def with_action(prs: DataFrame, history: DataFrame, action: str = "closed") -> DataFrame:
-    acts = history.where(F.col("action") == action).select(F.col("pull_request_id").alias("pr_id"))
+    acts = history.where(F.col("action") == action).select(F.col("pull_request_id").alias("pr_id")).distinct()
     return prs.join(acts, "pr_id", "left_semi")
 
 

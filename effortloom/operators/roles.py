@@ -40,7 +40,7 @@ def _of_projects(pairs: DataFrame, projects: DataFrame | None) -> DataFrame:
 
 def external_contributors(everyone: DataFrame, core: DataFrame) -> DataFrame:
     """Contributors of a project who are not core in that project."""
-    return everyone.join(core.select("project_id", "committer_id").distinct(), ["project_id", "committer_id"], "left_anti")
+    return everyone.join(core.select("project_id", "committer_id"), ["project_id", "committer_id"], "left_anti")
 
 
 def unknown_commits(commits: DataFrame, known: DataFrame, key: str = "project", sha: str = "sha") -> DataFrame:
@@ -49,12 +49,12 @@ def unknown_commits(commits: DataFrame, known: DataFrame, key: str = "project",
     return commits.join(recorded, [key, sha], "left_anti")
 
 
-def role_table(core: DataFrame, external: DataFrame) -> DataFrame:
-    """One row per project and committer with the role. Core wins."""
-    both = core.select("project_id", "committer_id", F.lit(CORE).alias("role")).unionByName(
-        external.select("project_id", "committer_id", F.lit(EXTERNAL).alias("role"))
+def role_table(core: DataFrame, others: DataFrame) -> DataFrame:
+    """Project and committer with the role. ``others`` may be the external contributors or simply everyone: whoever
+    is core in a project counts as core there, so the roll-up does not need the difference of the two."""
+    return core.select("project_id", "committer_id", F.lit(CORE).alias("role")).unionByName(
+        others.select("project_id", "committer_id", F.lit(EXTERNAL).alias("role"))
     )
-    return both.groupBy("project_id", "committer_id").agg(F.min("role").alias("role"))
 
 
 def role_rollup_wide(facts: DataFrame, roles: DataFrame, *, fanout: bool = False) -> DataFrame:
@@ -70,11 +70,14 @@ def role_rollup_wide(facts: DataFrame, roles: DataFrame, *, fanout: bool = False
     per_person = facts.groupBy(*group, "committer_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("module").alias("module"), F.sum("line").alias("line")
     )
-    times = [F.count_if(F.col("role") == x).alias(f"is_{x.lower()}") for x in (CORE, EXTERNAL)]
+    is_core = F.bool_or(F.col("role") == CORE)
+    scoped = roles.groupBy(F.col("project_id").alias("project"), "committer_id").agg(
+        is_core.cast("bigint").alias("is_cc"), (~is_core).cast("bigint").alias("is_ec")
+    )
     if fanout:
-        matched = per_person.join(roles.groupBy("committer_id").agg(*times), "committer_id", "left")
+        times = scoped.groupBy("committer_id").agg(F.sum("is_cc").alias("is_cc"), F.sum("is_ec").alias("is_ec"))
+        matched = per_person.join(times, "committer_id", "left")
     else:
-        scoped = roles.withColumnRenamed("project_id", "project").groupBy("project", "committer_id").agg(*times)
         matched = per_person.join(scoped, ["project", "committer_id"], "left")
     matched = matched.withColumn("is_uc", F.col("committer_id").isNull().cast("bigint"))
 

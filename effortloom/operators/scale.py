@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effortloom.functions.numbers import ratio
-from effortloom.operators.ordered import attach, ordered, quantiles
+from effortloom.operators.ordered import attach, counted, ordered, quantiles
 
 
 def robust_scale(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None, **kwargs) -> DataFrame:
@@ -25,7 +25,13 @@ def robust_unscale(df: DataFrame, col: str, name: str | None = None) -> DataFram
 
 
 def quantile_transform(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "u", train: str | None = None, **kwargs
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "u",
+    train: str | None = None,
+    bounded: bool = False,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Map ``value`` to its place in the training distribution of the key: lowest 0, highest 1, ties half-way.
 
@@ -36,7 +42,10 @@ def quantile_transform(
     weight = F.lit(1) if train is None else F.col(train).cast("int")
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.sum(weight).cast("bigint").alias("_n"))
-    placed = ordered(counts, keys, [value], running={"_upto": "_n"}, totals={"_size": "_n"}, **kwargs)
+    counts, small = counted(counts, known, keys, bounded, rows_per_task)
+    placed = ordered(
+        counts, keys, [value], running={"_upto": "_n"}, totals={"_size": "_n"}, bounded=small, rows_per_task=rows_per_task
+    )
     n, upto, last = F.col("_n"), F.col("_upto"), F.nullif(F.col("_size") - 1, F.lit(0))
     tie = (2 * upto - n - 1) / 2 / last
     if train is None:

@@ -12,14 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortloom.operators.ordered import attach, ordered
+from effortloom.operators.ordered import attach, counted, ordered
 from effortloom.session import pin
 
 # Tree limits.
 MAX_DEPTH, MIN_SPLIT = 10, 10
 
 
-def best_splits(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, min_split: int, **kwargs) -> DataFrame:
+def best_splits(
+    rows: DataFrame,
+    keys: Sequence[str],
+    xs: Sequence[str],
+    y: str,
+    min_split: int,
+    bounded: bool = False,
+    rows_per_task: int | None = None,
+) -> DataFrame:
     """The split with the smallest squared error per key (a node is part of the key).
 
     Ties in the error, compared at ten digits of its relative gain, go to the first feature, then the smallest value.
@@ -35,9 +43,10 @@ def best_splits(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str,
             F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q")
         )
     )
+    counts, small = counted(counts, rows, keys, bounded, rows_per_task)
     placed = ordered(
         counts, [*keys, "feature"], ["v"], running={"n_to": "n", "s_to": "s"}, previous={"v_prev": "v"},
-        totals={"node_n": "n", "node_s": "s", "node_q": "q"}, **kwargs,
+        totals={"node_n": "n", "node_s": "s", "node_q": "q"}, bounded=small, rows_per_task=rows_per_task,
     )
     sst = F.col("node_q") - F.col("node_s") * F.col("node_s") / F.col("node_n")
     # A node whose targets are all equal keeps only rounding noise in sst and is a leaf.

@@ -13,6 +13,8 @@ from effortloom.plans.stats import COST_CTES, KEYS, costed, ols_sql, rounded
 from effortloom.sources.tables import load
 
 MONTHS = 36
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 # Forecasts ----------------------------------------------------------------------------------------------------------
 
@@ -394,7 +396,7 @@ def mann_whitney(spark, d):
 )
 def kruskal(spark, d):
     rows = load(spark, d, "orders").select("o_orderpriority", "o_totalprice")
-    return rounded(htest.kruskal(rows, "o_totalprice", "o_orderpriority", 5), ["statistic", "p"])
+    return rounded(htest.kruskal(rows, "o_totalprice", "o_orderpriority", PRIORITIES), ["statistic", "p"])
 
 
 _SHARE = "SELECT o_orderpriority, count(*) FILTER (o_totalprice >= 255000) AS k, count(*) AS n FROM orders GROUP BY 1"
@@ -463,4 +465,4 @@ def h_two(spark, d):
 def h_many(spark, d):
     """Samples of 64 rows of every event type, compared by ranks."""
     drawn = s.pin(sample.seeded_sample(_events(spark, d), ["event_id"], 64, ["event_type"]))
-    return rounded(htest.kruskal(drawn, "value", "event_type", 5, bounded=True), ["statistic", "p"])
+    return rounded(htest.kruskal(drawn, "value", "event_type", EVENT_TYPES, bounded=True), ["statistic", "p"])

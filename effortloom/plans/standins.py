@@ -68,9 +68,8 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """Classified commits with their effort; commits that touch no file take no part."""
-    noted = messages(spark, d).select(
-        "sha", F.col("e_module").alias("module"), F.col("e_line").alias("line"),
-        classify.task_of("message", PART_RULES).alias("task"),
+    noted = classify.with_task(messages(spark, d), "message", "task", PART_RULES).select(
+        "sha", F.col("e_module").alias("module"), F.col("e_line").alias("line"), "task"
     )
     return commits(spark, d).select("sha", "project", "version", "date", "committer_id").join(noted, "sha")
 
@@ -118,7 +117,7 @@ def external(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_table(spark: SparkSession, d: str) -> DataFrame:
-    return roles.role_table(core(spark, d), external(spark, d))
+    return roles.role_table(core(spark, d), everyone(spark, d))
 
 
 def role_rollup(spark: SparkSession, d: str) -> DataFrame:
