@@ -16,6 +16,15 @@ from effortloom.functions.numbers import ColumnLike, as_col
 SERIES_TERMS = 150
 FRACTION_TERMS = 60
 
+# Coefficients of Acklam's probit approximation, highest power first.
+PROBIT_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
+            -3.066479806614716e01, 2.506628277459239e00)
+PROBIT_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
+            -1.328068155288572e01, 1.0)
+PROBIT_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
+            4.374664141464968e00, 2.938163982698783e00)
+PROBIT_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
 
 def norm_pdf(z: ColumnLike) -> Column:
     x = as_col(z).cast("double")
@@ -51,15 +60,6 @@ def norm_cdf(z: ColumnLike) -> Column:
 def norm_ppf(p: ColumnLike) -> Column:
     """Probit by the published rational approximation of Acklam; relative error below 1.2e-9."""
     q = as_col(p).cast("double")
-    # Coefficients of the approximation.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
-         -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
-         -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
-         4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-
     def poly(coefficients, x):
         out = F.lit(coefficients[0])
         for k in coefficients[1:]:
@@ -67,9 +67,9 @@ def norm_ppf(p: ColumnLike) -> Column:
         return out
 
     r = q - 0.5
-    middle = poly(a, r * r) * r / poly(b, r * r)
+    middle = poly(PROBIT_A, r * r) * r / poly(PROBIT_B, r * r)
     s = F.sqrt(-2 * F.log(F.least(q, 1 - q)))
-    tail = poly(c, s) / poly(d, s)
+    tail = poly(PROBIT_C, s) / poly(PROBIT_D, s)
     start = F.when((q > 0.02425) & (q < 1 - 0.02425), middle).when(q <= 0.5, tail).otherwise(-tail)
     return F.when((q > 0) & (q < 1), start)
 

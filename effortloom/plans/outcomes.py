@@ -8,7 +8,7 @@ from effortloom.functions.numbers import rnd
 from effortloom.operators import costs, esp, export, forecast, htest, linear, ordered, releases, sample, summary
 from effortloom.plans import standins as s
 from effortloom.plans.registry import query
-from effortloom.plans.standins import big, r, sql
+from effortloom.plans.standins import big, probit_sql, r, sql
 from effortloom.plans.stats import COST_CTES, KEYS, costed, ols_sql, rounded
 from effortloom.sources.tables import load
 
@@ -346,7 +346,16 @@ def t_test(spark, d):
     return rounded(htest.t_test(_events(spark, d), "value", 50.0, ["event_type"], p_value=False), ["statistic"])
 
 
-@query("t_test_p")
+# Two-sided Student tail by Simpson's rule over [0, |t|] with 2,000 steps.
+_STUDENT = """1 - 2 * abs(t) / 6000 * exp(lgamma(n / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE) - ln((n - 1) * pi()) / 2) * list_sum([
+    (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(-n / 2.0::DOUBLE * ln(1 + power(t * i / 2000, 2) / (n - 1))) FOR i IN range(0, 2001)])"""
+
+
+@query(
+    "t_test_p",
+    f"SELECT event_type, n, {r('t')} AS statistic, {r(_STUDENT)} AS p FROM (SELECT event_type, count(value) AS n, {_T} AS t FROM events GROUP BY 1)",
+)
 def t_test_p(spark, d):
     return rounded(htest.t_test(_events(spark, d), "value", 50.0, ["event_type"]), ["statistic", "p"])
 
@@ -369,31 +378,43 @@ def signed_rank(spark, d):
     return rounded(htest.signed_rank(_events(spark, d), "value", 35.0, ["event_type"]), ["z", "p"])
 
 
-_RANKS = """SELECT o_orderpriority AS g, o_totalprice AS x, CAST(count(*) OVER (PARTITION BY o_totalprice) AS DOUBLE) AS c,
-    rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS rnk, CAST(count(*) OVER () AS DOUBLE) AS size
-    FROM orders WHERE {where}"""
+def drawn_sql(n: int, where: str = "true") -> str:
+    return f"""SELECT * FROM events WHERE {where}
+        QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(concat_ws('|', '0', CAST(event_id AS VARCHAR))), event_id) <= {n}"""
+
+
+def ranked_sql(source: str, sample: str, value: str) -> str:
+    return f"""SELECT {sample} AS g, {value} AS x, CAST(count(*) OVER (PARTITION BY {value}) AS DOUBLE) AS c,
+        rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2 AS rnk, CAST(count(*) OVER () AS DOUBLE) AS size
+        FROM ({source})"""
+
+
+def mann_sql(ranks: str, a: str, b: str) -> str:
+    return f"""SELECT n1, n2, u AS statistic, {r('z')} AS z, {r(f'least(2 * (1 - {cdf_sql("z")}), 1)')} AS p FROM (SELECT *,
+        (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt((1 - ties / (size * size * size - size)) * n1 * n2 * (size + 1) / 12) AS z FROM (
+        SELECT CAST(count(*) FILTER (g = '{a}') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = '{b}') AS DOUBLE) AS n2, any_value(size) AS size,
+        sum(rnk) FILTER (g = '{a}') - count(*) FILTER (g = '{a}') * (count(*) FILTER (g = '{a}') + 1) / 2 AS u,
+        sum((c * c * c - c) / c) AS ties FROM ({ranks})))"""
+
+
+def kruskal_sql(ranks: str) -> str:
+    """For five samples: four degrees of freedom."""
+    return f"""SELECT samples, n, {r('h')} AS statistic, {r('exp(-h / 2) * (1 + h / 2)')} AS p FROM (SELECT count(*) AS samples, CAST(any_value(size) AS BIGINT) AS n,
+        (12 / (any_value(size) * (any_value(size) + 1)) * sum(rs * rs / m) - 3 * (any_value(size) + 1))
+        / (1 - sum(ties) / (any_value(size) * any_value(size) * any_value(size) - any_value(size))) AS h FROM (
+        SELECT g, sum(rnk) AS rs, count(*) AS m, any_value(size) AS size, sum((c * c * c - c) / c) AS ties FROM ({ranks}) GROUP BY 1))"""
 
 
 @query(
     "mann_whitney",
-    f"""SELECT n1, n2, u AS statistic, {r('z')} AS z, {r(f'least(2 * (1 - {cdf_sql("z")}), 1)')} AS p FROM (SELECT *,
-        (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt((1 - ties / (size * size * size - size)) * n1 * n2 * (size + 1) / 12) AS z FROM (
-        SELECT CAST(count(*) FILTER (g = '1-URGENT') AS DOUBLE) AS n1, CAST(count(*) FILTER (g = '5-LOW') AS DOUBLE) AS n2, any_value(size) AS size,
-        sum(rnk) FILTER (g = '1-URGENT') - count(*) FILTER (g = '1-URGENT') * (count(*) FILTER (g = '1-URGENT') + 1) / 2 AS u,
-        sum((c * c * c - c) / c) AS ties FROM ({_RANKS.format(where="o_orderpriority IN ('1-URGENT', '5-LOW')")})))""",
+    mann_sql(ranked_sql("SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')", "o_orderpriority", "o_totalprice"), "1-URGENT", "5-LOW"),
 )
 def mann_whitney(spark, d):
     rows = load(spark, d, "orders").select("o_orderpriority", "o_totalprice")
     return rounded(htest.mann_whitney(rows, "o_totalprice", "o_orderpriority", "1-URGENT", "5-LOW"), ["z", "p"])
 
 
-@query(
-    "kruskal",
-    f"""SELECT samples, n, {r('h')} AS statistic, {r('exp(-h / 2) * (1 + h / 2)')} AS p FROM (SELECT count(*) AS samples, CAST(any_value(size) AS BIGINT) AS n,
-        (12 / (any_value(size) * (any_value(size) + 1)) * sum(rs * rs / m) - 3 * (any_value(size) + 1))
-        / (1 - sum(ties) / (any_value(size) * any_value(size) * any_value(size) - any_value(size))) AS h FROM (
-        SELECT g, sum(rnk) AS rs, count(*) AS m, any_value(size) AS size, sum((c * c * c - c) / c) AS ties FROM ({_RANKS.format(where='true')}) GROUP BY 1))""",
-)
+@query("kruskal", kruskal_sql(ranked_sql("SELECT * FROM orders", "o_orderpriority", "o_totalprice")))
 def kruskal(spark, d):
     rows = load(spark, d, "orders").select("o_orderpriority", "o_totalprice")
     return rounded(htest.kruskal(rows, "o_totalprice", "o_orderpriority", PRIORITIES), ["statistic", "p"])
@@ -433,17 +454,61 @@ def clt_check(spark, d):
     return _share(spark, d).select("o_orderpriority", yes.alias("successes"), no.alias("failures"))
 
 
-@query("shapiro")
+def shapiro_sql(source: str) -> str:
+    """Royston's W and p for samples of 12 or more rows."""
+    return f"""SELECT event_type, CAST(n AS BIGINT) AS n, w, 1 - {cdf_sql('zz')} AS p FROM (SELECT *,
+        (ln(1 - w) - (0.0038915 * power(ln(n), 3) - 0.083751 * power(ln(n), 2) - 0.31082 * ln(n) - 1.5861))
+        / exp(0.0030302 * power(ln(n), 2) - 0.082676 * ln(n) - 0.4803) AS zz FROM (SELECT *,
+        least(power(mx / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * (xn - x1) + a2 * (xn1 - x2), 2) / ss, 1) AS w FROM (SELECT *,
+        -2.706056 * power(u, 5) + 4.434685 * power(u, 4) - 2.071190 * power(u, 3) - 0.147981 * u * u + 0.221157 * u + m1 / sqrt(mm) AS a1,
+        -3.582633 * power(u, 5) + 5.682633 * power(u, 4) - 1.752461 * power(u, 3) - 0.293762 * u * u + 0.042981 * u + m2 / sqrt(mm) AS a2 FROM (
+        SELECT event_type, CAST(count(*) AS DOUBLE) AS n, 1 / sqrt(count(*)) AS u, sum(m * m) AS mm, sum(m * x) FILTER (i >= 2 AND i < c - 2) AS mx,
+        var_pop(x) * count(*) AS ss, max(m) FILTER (i = c - 1) AS m1, max(m) FILTER (i = c - 2) AS m2, max(x) FILTER (i = 0) AS x1,
+        max(x) FILTER (i = 1) AS x2, max(x) FILTER (i = c - 1) AS xn, max(x) FILTER (i = c - 2) AS xn1 FROM (
+        SELECT *, {probit_sql('((i + 1 - 0.375) / (c + 0.25::DOUBLE))')} AS m FROM (
+        SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i,
+        count(*) OVER (PARTITION BY event_type) AS c FROM ({source}))) GROUP BY 1))))"""
+
+
+@query("shapiro", f"SELECT event_type, n, {r('w')} AS statistic, {r('p')} AS p FROM ({shapiro_sql('SELECT * FROM events')})")
 def shapiro(spark, d):
     return rounded(htest.shapiro(_events(spark, d), "value", ["event_id"], ["event_type"]), ["statistic", "p"])
 
 
-@query("test_choice")
+def choice_sql(source: str, center: str = "50") -> str:
+    ranks = f"""SELECT event_type, (statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS sz FROM (
+        SELECT event_type, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN g > 0 THEN rnk END) AS statistic, sum((c * c * c - c) / c) AS ties FROM (
+          SELECT event_type, g, CAST(count(*) OVER (PARTITION BY event_type, abs(g)) AS DOUBLE) AS c,
+                 rank() OVER (PARTITION BY event_type ORDER BY abs(g)) + (count(*) OVER (PARTITION BY event_type, abs(g)) - 1) / 2 AS rnk
+          FROM (SELECT event_type, value - {center} AS g FROM ({source})) WHERE g <> 0) GROUP BY 1)"""
+    return f"""SELECT event_type, n, normal_p, test, p, p > 0.05 AS likely FROM (SELECT event_type, n, normal_p,
+        CASE WHEN NOT normal_p > 0.05 THEN 'signed_rank' WHEN n <= 30 THEN 't' ELSE 'z' END AS test,
+        CASE WHEN NOT normal_p > 0.05 THEN {cdf_sql('sz')} WHEN n <= 30 THEN {_STUDENT} ELSE {cdf_sql('t')} END AS p FROM (
+        SELECT w.event_type, w.n, w.p AS normal_p, k.sz, m.t FROM ({shapiro_sql(source)}) w JOIN ({ranks}) k USING (event_type)
+        JOIN (SELECT event_type, {_T} AS t FROM ({source}) GROUP BY 1) m USING (event_type)))"""
+
+
+@query(
+    "test_choice",
+    f"SELECT event_type, n, {r('normal_p')} AS normal_p, test, {r('p')} AS p, likely FROM ({choice_sql('SELECT * FROM events')})",
+)
 def test_choice(spark, d):
     return rounded(htest.choose_one_sample(_events(spark, d), "value", ["event_id"], 50.0, ["event_type"]), ["normal_p", "p"])
 
 
-@query("h_one")
+_H1 = drawn_sql(276)
+
+
+def _h1_ci(sign: str) -> str:
+    return r(f"{r('avg(value)', 2)} {sign} 1.959963984540054 * {r('stddev_samp(value)', 2)} / sqrt(count(*))")
+
+
+@query(
+    "h_one",
+    f"""SELECT d.*, {r('c.normal_p')} AS normal_p, c.test, {r('c.p')} AS p, c.likely FROM (SELECT event_type, count(value) AS count,
+        {r('avg(value)', 2)} AS mean, {r('median(value)', 2)} AS median, {r('stddev_samp(value)', 2)} AS std, {r('min(value)', 2)} AS min,
+        {r('max(value)', 2)} AS max, {_h1_ci('-')} AS low, {_h1_ci('+')} AS high FROM ({_H1}) GROUP BY 1) d JOIN ({choice_sql(_H1)}) c USING (event_type)""",
+)
 def h_one(spark, d):
     """One sample per event type: draw 276 rows, describe them, choose a test."""
     drawn = s.pin(sample.seeded_sample(_events(spark, d), ["event_id"], 276, ["event_type"]))
@@ -453,7 +518,7 @@ def h_one(spark, d):
     return rounded(ordered.attach(ordered.attach(stats, ci, ["event_type"]), verdict, ["event_type"]), ["low", "high", "normal_p", "p"])
 
 
-@query("h_two")
+@query("h_two", mann_sql(ranked_sql(drawn_sql(64, "event_type IN ('view', 'click')"), "event_type", "value"), "view", "click"))
 def h_two(spark, d):
     """Two samples of 64 rows, compared by ranks."""
     rows = _events(spark, d).where(F.col("event_type").isin("view", "click"))
@@ -461,7 +526,7 @@ def h_two(spark, d):
     return rounded(htest.mann_whitney(drawn, "value", "event_type", "view", "click", bounded=True), ["z", "p"])
 
 
-@query("h_many")
+@query("h_many", kruskal_sql(ranked_sql(drawn_sql(64), "event_type", "value")))
 def h_many(spark, d):
     """Samples of 64 rows of every event type, compared by ranks."""
     drawn = s.pin(sample.seeded_sample(_events(spark, d), ["event_id"], 64, ["event_type"]))

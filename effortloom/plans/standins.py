@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effortloom.functions.special import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D
 from effortloom.operators import classify, export, releases, roles
 from effortloom.session import pin
 from effortloom.sources.tables import load
@@ -206,6 +207,22 @@ def holiday(expression: str) -> str:
     )
 
 
+def probit_sql(p: str) -> str:
+    """The rational approximation the DataFrame side uses, written out."""
+    r2 = f"(({p} - 0.5) * ({p} - 0.5))"
+    tail = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+
+    def poly(coefficients, x):
+        out = f"{coefficients[0]!r}::DOUBLE"
+        for k in coefficients[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    middle = f"({poly(PROBIT_A, r2)} * ({p} - 0.5) / {poly(PROBIT_B, r2)})"
+    outer = f"({poly(PROBIT_C, tail)} / {poly(PROBIT_D, tail)})"
+    return f"(CASE WHEN {p} > 0.02425 AND {p} < 0.97575 THEN {middle} WHEN {p} <= 0.5 THEN {outer} ELSE -{outer} END)"
+
+
 def case_task(column: str, rules=PART_RULES, suffix: str = "OTHER") -> str:
     arms = " ".join(f"WHEN regexp_matches(lower({column}), '({'|'.join(words)})') THEN '{task}'" for task, words in rules)
     return f"CASE {arms} ELSE '{suffix}' END"

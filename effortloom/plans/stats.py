@@ -14,7 +14,7 @@ from effortloom.operators.calendar import business_calendar, business_hours, pre
 from effortloom.operators.releases import SERIES_ORDER
 from effortloom.plans import standins as s
 from effortloom.plans.registry import query
-from effortloom.plans.standins import big, holiday, r, sql
+from effortloom.plans.standins import big, holiday, probit_sql, r, sql
 from effortloom.sources.tables import load
 
 KEYS = ["project", "task"]
@@ -146,7 +146,11 @@ def avg_rank(spark, d):
     return ordered.average_rank(rows, ["event_type"], "value").select("event_id", "rank")
 
 
-@query("qq_points")
+@query(
+    "qq_points",
+    f"""SELECT event_type, value, {r(probit_sql('((i + 0.5::DOUBLE) / n)'))} AS theoretical FROM (SELECT event_type, value,
+        row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)""",
+)
 def qq_points(spark, d):
     rows = load(spark, d, "events").select("event_id", "event_type", "value")
     placed = ordered.ordered(rows, ["event_type"], ["value", "event_id"], position="i", size="n")
@@ -187,9 +191,24 @@ def spearman_pairs(spark, d):
     return rounded(out, [f"{a}__{b}" for a, b in _PAIRS])
 
 
-@query("corr_report")
+_REPORT = ", ".join(
+    f"concat('E_{a} => {b}: ', coalesce(CAST(CASE WHEN {a}__{b} = 0 THEN '0.0' WHEN abs({a}__{b}) = 1 THEN format('{{:.1f}}', {a}__{b}) "
+    f"ELSE CAST({a}__{b} AS VARCHAR) END AS VARCHAR), 'nan'))"
+    for a, b in _PAIRS
+)
+
+
+@query(
+    "corr_report",
+    sql(
+        f"SELECT project, task, concat_ws(chr(10), concat(project, ':', task, ' - Pearsons correlation:'), {_REPORT}) AS value FROM pr",
+        ci=_CORR_INPUT, pr=f"SELECT project, task, {', '.join(f'{_corr_sql(a, b, 4)} AS {a}__{b}' for a, b in _PAIRS)} FROM ci GROUP BY 1, 2",
+    ),
+)
 def corr_report(spark, d):
-    return correlate.correlation_report(pearson_pairs(spark, d), KEYS, _PAIRS, "Pearsons")
+    rows = correlate.lagged_inputs(s.dataset(spark, d), KEYS, bounded=True)
+    pairs = rounded(correlate.pearson_pairs(rows, KEYS, _PAIRS), [f"{a}__{b}" for a, b in _PAIRS], 4)
+    return correlate.correlation_report(pairs, KEYS, _PAIRS, "Pearsons")
 
 
 _M = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -578,10 +597,21 @@ def gbt(spark, d):
     return rounded(metrics.error_metrics(out, KEYS), ["mae", "mse", "rmse"], 4)
 
 
-@query("isotonic")
+# The closed form of a monotone fit: the largest over starts of the smallest over ends of the mean in between.
+@query(
+    "isotonic",
+    sql(
+        f"""SELECT x AS nt_ec, {r('max(low)')} AS predicted, any_value(c) AS n FROM (
+            SELECT p.x, p.c, a.x AS start, min((b.sy - a.sy + a.y) / (b.sc - a.sc + a.c)) AS low
+            FROM steps p JOIN steps a ON a.x <= p.x JOIN steps b ON b.x >= p.x GROUP BY 1, 2, 3) GROUP BY 1""",
+        steps="""SELECT nt_ec AS x, count(*) AS c, CAST(sum(line_ec) AS DOUBLE) AS y, sum(count(*)) OVER (ORDER BY nt_ec) AS sc,
+                 CAST(sum(sum(line_ec)) OVER (ORDER BY nt_ec) AS DOUBLE) AS sy FROM filled GROUP BY 1""",
+    ),
+)
 def isotonic(spark, d):
     out = models.isotonic(_pooled(spark, d), "nt_ec", "y")
-    return out.groupBy("nt_ec").agg(F.max("predicted").alias("predicted"), F.count(F.lit(1)).alias("n"))
+    fitted = out.groupBy("nt_ec").agg(F.max("predicted").alias("predicted"), F.count(F.lit(1)).alias("n"))
+    return rounded(fitted, ["predicted"])
 
 
 # Cost model ---------------------------------------------------------------------------------------------------------
