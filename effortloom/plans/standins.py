@@ -340,4 +340,6 @@ def sql(body: str, **more: str) -> str:
     need(body)
     if not chosen:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in chosen) + "\n" + body
+    # Tables named m_... are read many times by the check and computed once.
+    once = {n: "AS MATERIALIZED" if n.startswith("m_") else "AS" for n in chosen}
+    return "WITH " + ",\n".join(f"{n} {once[n]} ({known[n]})" for n in chosen) + "\n" + body

@@ -530,15 +530,89 @@ def _targets(spark, d, model: str):
     return export.long_targets(s.filled(spark, d)).where(F.col("model") == model)
 
 
-@query("cart_grouped")
+def cart_ctes(start: str, group: str, xs: list[str], y: str, prefix: str, levels: int = tree.MAX_DEPTH) -> dict[str, str]:
+    """A tree level by level: rows of a level, its best splits, rows of the next. ``start`` has is_train."""
+    out = {f"{prefix}_r0": f"SELECT *, CAST(1 AS BIGINT) AS node FROM {start}"}
+    for k in range(levels):
+        cells = " UNION ALL ".join(
+            f"SELECT {group}, node, {i} AS feature, CAST({x} AS DOUBLE) AS v, CAST({y} AS DOUBLE) AS t FROM {prefix}_r{k} WHERE is_train"
+            for i, x in enumerate(xs)
+        )
+        out[f"{prefix}_s{k}"] = f"""SELECT {group}, node, arg_min(feature, (cost, feature, cut)) AS feature, arg_min(cut, (cost, feature, cut)) AS cut FROM (
+            SELECT *, -round((sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt) / nullif(qt - st * st / nt, 0), 10) AS cost,
+                   (vp + v) / 2 AS cut FROM (
+              SELECT {group}, node, feature, v, lag(v) OVER w AS vp, sum(n) OVER w - n AS nl, sum(sy) OVER w - sy AS sl,
+                     sum(n) OVER p AS nt, sum(sy) OVER p AS st, sum(q) OVER p AS qt FROM (
+                SELECT {group}, node, feature, v, count(*) AS n, sum(t) AS sy, sum(t * t) AS q FROM ({cells}) GROUP BY ALL)
+              WINDOW w AS (PARTITION BY {group}, node, feature ORDER BY v), p AS (PARTITION BY {group}, node, feature))
+            WHERE vp IS NOT NULL AND nt >= {tree.MIN_SPLIT} AND qt - st * st / nt > 1e-12 * qt) GROUP BY ALL"""
+        pick = "CASE z.feature " + " ".join(f"WHEN {i} THEN a.{x}" for i, x in enumerate(xs)) + " END"
+        on = " AND ".join(f"z.{g.strip()} = a.{g.strip()}" for g in group.split(","))
+        out[f"{prefix}_r{k + 1}"] = f"""SELECT a.* REPLACE (CASE WHEN z.feature IS NULL THEN a.node
+            ELSE a.node * 2 + CAST({pick} > z.cut AS BIGINT) END AS node) FROM {prefix}_r{k} a
+            LEFT JOIN {prefix}_s{k} z ON {on} AND z.node = a.node"""
+    return out
+
+
+_TREE_ROWS = """SELECT project, task, version, date, t_line, {y} AS y, CAST(nt_ec AS DOUBLE) AS x0, CAST(no_ec AS DOUBLE) AS x1,
+    CAST(t_ec AS DOUBLE) AS x2, CAST(t_line_p AS DOUBLE) AS x3, true AS is_train FROM filled"""
+_X = ["x0", "x1", "x2", "x3"]
+
+
+@query(
+    "cart_grouped",
+    sql(
+        f"""SELECT project, task, 'Line_EC' AS model, version, node, {r('avg(y) OVER (PARTITION BY project, task, node)')} AS predicted FROM m_c_r10""",
+        m_rows=_TREE_ROWS.format(y="line_ec"), **cart_ctes("m_rows", "project, task", _X, "y", "m_c"),
+    ),
+)
 def cart_grouped(spark, d):
     """The production model without the quantile scale: in-sample predictions of a tree per project and task."""
     rows = _targets(spark, d, "Line_EC").withColumn("is_train", F.lit(True))
     out = tree.grouped_cart(rows, [*KEYS, "model"], MODEL_XS, "y", bounded=True)
-    return out.select(*KEYS, "model", "version", "node", "predicted")
+    return out.select(*KEYS, "model", "version", "node", rnd("predicted").alias("predicted"))
+
+
+# Every fit with all rows of its series: held-out fold f, or -1 for the fit on everything.
+_G = "project, task, fold_out"
+_UNIFORM = """CASE WHEN n_lt = 0 THEN 0 WHEN n_le = size THEN 1 WHEN n_le > n_lt THEN (n_lt + n_le - 1) / 2 / (size - 1)
+    ELSE (n_le - 1 + (val - lo) / (hi - lo)) / (size - 1) END"""
+_MODEL_CTES = {
+    "m_rows": _TREE_ROWS.format(y="module_ec").replace(", true AS is_train", ""),
+    "m_folded": fold_sql("m_rows", "project, task", "date, t_line, version", "*"),
+    "m_fits": f"""SELECT a.*, o.fold_out, o.fold_out = -1 OR a.fold <> o.fold_out AS is_train, o.fold_out = -1 OR a.fold = o.fold_out AS is_test
+        FROM m_folded a JOIN (SELECT DISTINCT project, task, fold AS fold_out FROM m_folded UNION ALL SELECT DISTINCT project, task, -1 FROM m_folded) o
+        USING (project, task)""",
+    "m_cells": " UNION ALL ".join(
+        f"SELECT {_G}, '{c}' AS col, CAST({c} AS DOUBLE) AS val, is_train FROM m_fits" for c in [*_X, "y"]
+    ),
+    "m_place": f"""SELECT {_G}, col, val, CAST({_UNIFORM} AS DOUBLE) AS u FROM (
+        SELECT v.project, v.task, v.fold_out, v.col, v.val, count(*) AS size, count(*) FILTER (t.val < v.val) AS n_lt,
+               count(*) FILTER (t.val <= v.val) AS n_le, max(t.val) FILTER (t.val <= v.val) AS lo, min(t.val) FILTER (t.val > v.val) AS hi
+        FROM (SELECT DISTINCT {_G}, col, val FROM m_cells) v JOIN m_cells t ON t.project = v.project AND t.task = v.task
+         AND t.fold_out = v.fold_out AND t.col = v.col AND t.is_train GROUP BY ALL)""",
+    "m_scaled": f"""SELECT f.project, f.task, f.fold_out, f.version, f.y, f.fold, f.is_train, f.is_test, {", ".join(f"p{c}.u AS u{c}" for c in [*_X, "y"])}
+        FROM m_fits f {" ".join(f"JOIN m_place p{c} ON p{c}.project = f.project AND p{c}.task = f.task AND p{c}.fold_out = f.fold_out AND p{c}.col = '{c}' AND p{c}.val = f.{c}" for c in [*_X, "y"])}""",
+    **cart_ctes("m_scaled", _G, [f"u{c}" for c in _X], "uy", "m_t"),
+    "m_leaves": f"SELECT {_G}, node, avg(uy) AS u_hat FROM m_t_r10 WHERE is_train GROUP BY ALL",
+    "m_knots": f"SELECT {_G}, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY {_G} ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY {_G}) AS n FROM m_fits WHERE is_train",
+    "m_hats": f"""SELECT x.project, x.task, x.fold_out, x.version, a.y + (b.y - a.y) * (x.spot - floor(x.spot)) AS hat, x.y FROM (
+        SELECT t.project, t.task, t.fold_out, t.version, t.y, k.n, least(greatest(l.u_hat, 0), 1) * (k.n - 1) AS spot FROM m_t_r10 t
+        JOIN m_leaves l USING (project, task, fold_out, node) JOIN (SELECT DISTINCT {_G}, n FROM m_knots) k USING (project, task, fold_out) WHERE t.is_test) x
+        JOIN m_knots a ON a.project = x.project AND a.task = x.task AND a.fold_out = x.fold_out AND a.i = floor(x.spot)
+        JOIN m_knots b ON b.project = x.project AND b.task = x.task AND b.fold_out = x.fold_out AND b.i = least(floor(x.spot) + 1, x.n - 1)""",
+    "m_scored": """SELECT project, task, version, any_value(y) AS y, max(hat) FILTER (fold_out = -1) AS fitted, max(hat) FILTER (fold_out <> -1) AS predicted
+        FROM m_hats GROUP BY 1, 2, 3""",
+}
 
 
-@query("effort_model")
+@query(
+    "effort_model",
+    sql(f"""SELECT project, task, 'Module_EC' AS model, {r(_R2, 2)} AS r_squared, count(*) AS t_records, {r('avg(abs(y - predicted))', 2)} AS mae,
+            {r('avg(power(y - predicted, 2))', 2)} AS mse, {r('sqrt(avg(power(y - predicted, 2)))', 2)} AS rmse, {_PRED},
+            {r(f"1 - (1 - {r(_R2, 2)}) * (count(*) - 1) / nullif(count(*) - 5, 0)", 2)} AS r_squared_adj
+            FROM (SELECT *, {_PE} AS pe FROM m_scored) GROUP BY 1, 2""", **_MODEL_CTES),
+)
 def effort_model(spark, d):
     """The production model: quantile scale, tree, cross-validated and in-sample predictions, accuracy per series."""
     rows = _targets(spark, d, "Module_EC")
