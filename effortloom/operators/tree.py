@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortloom.operators.ordered import attach, counted, ordered
+from effortloom.operators.ordered import attach, fits_in_task, ordered
 from effortloom.session import pin
 
 # Tree limits.
@@ -33,6 +33,10 @@ def best_splits(
     Ties in the error, compared at ten digits of its relative gain, go to the first feature, then the smallest value.
     """
     keys = list(keys)
+    small = bounded or fits_in_task(rows, keys, rows_per_task)
+    if small:
+        # One shuffle serves the counts, the ordering and the choice below, all of which stay within a key.
+        rows = rows.repartition(*keys)
     cells = F.explode(
         F.array(*[F.struct(F.lit(i).alias("feature"), F.col(x).cast("double").alias("v")) for i, x in enumerate(xs)])
     )
@@ -43,10 +47,10 @@ def best_splits(
             F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q")
         )
     )
-    counts, small = counted(counts, rows, keys, bounded, rows_per_task)
     placed = ordered(
-        counts, [*keys, "feature"], ["v"], running={"n_to": "n", "s_to": "s"}, previous={"v_prev": "v"},
-        totals={"node_n": "n", "node_s": "s", "node_q": "q"}, bounded=small, rows_per_task=rows_per_task,
+        counts if small else pin(counts), [*keys, "feature"], ["v"], running={"n_to": "n", "s_to": "s"},
+        previous={"v_prev": "v"}, totals={"node_n": "n", "node_s": "s", "node_q": "q"}, bounded=small,
+        rows_per_task=rows_per_task,
     )
     sst = F.col("node_q") - F.col("node_s") * F.col("node_s") / F.col("node_n")
     # A node whose targets are all equal keeps only rounding noise in sst and is a leaf.
