@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortloom.functions.numbers import ratio
+from effortloom.functions.numbers import ratio, rnd
 from effortloom.operators.ordered import attach, mid_ranks, ordered
 
 Pair = tuple[str, str]
@@ -68,10 +68,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     return flat.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
 
 
-def correlation_report(df: DataFrame, keys: Sequence[str], pairs: Sequence[Pair], title: str) -> DataFrame:
-    """One text block per key: a heading and a line per pair."""
+def correlation_report(
+    df: DataFrame, keys: Sequence[str], pairs: Sequence[Pair], title: str, digits: int = 4
+) -> DataFrame:
+    """One text block per key: a heading and a line per pair, plain decimals with ``digits`` places."""
     heading = F.concat(F.concat_ws(":", *keys), F.lit(f" - {title} correlation:"))
-    lines = [F.format_string(f"E_{a} => {b}: %s", F.coalesce(F.col(f"{a}__{b}").cast("string"), F.lit("nan"))) for a, b in pairs]
+    shown = {p: F.format_string(f"%.{digits}f", rnd(f"{p[0]}__{p[1]}", digits)) for p in pairs}
+    known = {p: F.when(F.col(f"{p[0]}__{p[1]}").isNotNull(), shown[p]).otherwise(F.lit("nan")) for p in pairs}
+    lines = [F.concat(F.lit(f"E_{a} => {b}: "), known[a, b]) for a, b in pairs]
     return df.select(*keys, F.concat_ws("\n", heading, *lines).alias("value"))
 
 

@@ -191,11 +191,7 @@ def spearman_pairs(spark, d):
     return rounded(out, [f"{a}__{b}" for a, b in _PAIRS])
 
 
-_REPORT = ", ".join(
-    f"concat('E_{a} => {b}: ', coalesce(CAST(CASE WHEN {a}__{b} = 0 THEN '0.0' WHEN abs({a}__{b}) = 1 THEN format('{{:.1f}}', {a}__{b}) "
-    f"ELSE CAST({a}__{b} AS VARCHAR) END AS VARCHAR), 'nan'))"
-    for a, b in _PAIRS
-)
+_REPORT = ", ".join(f"concat('E_{a} => {b}: ', coalesce(printf('%.4f', {a}__{b}), 'nan'))" for a, b in _PAIRS)
 
 
 @query(
@@ -207,8 +203,7 @@ _REPORT = ", ".join(
 )
 def corr_report(spark, d):
     rows = correlate.lagged_inputs(s.dataset(spark, d), KEYS, bounded=True)
-    pairs = rounded(correlate.pearson_pairs(rows, KEYS, _PAIRS), [f"{a}__{b}" for a, b in _PAIRS], 4)
-    return correlate.correlation_report(pairs, KEYS, _PAIRS, "Pearsons")
+    return correlate.correlation_report(correlate.pearson_pairs(rows, KEYS, _PAIRS), KEYS, _PAIRS, "Pearsons")
 
 
 _M = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
