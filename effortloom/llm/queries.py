@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, packing, simhash
+from effortloom.llm import lines, packing, quality, simhash
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict by divergence from the language references."""
+    return quality.judge(read(spark, folder, "documents"), min_words=50)
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under SimHash fingerprints of three-word shingles at three bits or fewer."""
     return simhash.near_duplicates(read(spark, folder, "documents"), shingle=3, distance=3).select(
@@ -53,6 +58,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
