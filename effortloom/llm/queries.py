@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, packing, quality, simhash
+from effortloom.llm import lines, packing, quality, secrets, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,33 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _span_text(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, hidden ones included."""
+    found = secrets.scan_documents(read(spark, folder, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(_span_text("base"), 256).alias("base_sha256"), _span_text("spans").alias("spans"), "layers", "layers_cut",
+    )
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, learnt without the held-out labels."""
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"), held_out=2, threshold=0.3)
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy word-piece count of every document."""
+    return wordpieces.count_tokens(read(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that every document loses and the digest of what stays."""
     return lines.dedup_lines(read(spark, folder, "documents"), min_chars=20, min_docs=3).select(
@@ -60,6 +87,9 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
 }

@@ -1,0 +1,109 @@
+"""Secret scans and word-piece counts against plain code."""
+
+import base64
+import gzip
+import random
+import re
+import zlib
+
+from effortloom.llm import secrets, wordpieces
+from effortloom.llm.encode import default_tokenizer
+
+
+def plain_base(text):
+    out = [("assign", m.start(), m.end()) for m in re.finditer("(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.A) if len(m[1]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def test_base_equals_plain_search():
+    rng = random.Random(3)
+    bits = ["token", "TOKEN", "ſecret", "api_key", "ApiKey", "=", ":", " ", '"', "'", "abc", "x.y-z/1234", "AKIA", "ABCD1234EFGH5678", "0f" * 13, "é", "\n", "%41", "\\u0041"]
+    for _ in range(2000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        base, spans, _, _ = secrets.scan(text)
+        assert base == plain_base(text) and set(base) <= set(spans)
+
+
+def test_layers_map_to_the_text():
+    secret = 'password = "Tr0ub4dor&3"'
+    cases = {
+        "once": b64(secret.encode()),
+        "twice": b64(b64(secret.encode()).encode()),
+        "packed": b64(gzip.compress(secret.encode())),
+        "zlib": b64(zlib.compress(("x " * 30 + secret).encode())),
+        "url": "".join(f"%{b:02X}" for b in secret.encode()),
+        "unicode": "".join(f"\\u{ord(c):04x}" for c in secret),
+        "nested": "".join(f"%{b:02X}" for b in b64(gzip.compress(b64(secret.encode()).encode())).encode()),
+        "unicode in base64": b64("".join(f"\\u{ord(c):04x}" for c in secret).encode()),
+    }
+    for name, hidden in cases.items():
+        text = f"naïve words {hidden} and more"
+        base, spans, layers, cut = secrets.scan(text)
+        start = text.index(hidden)
+        found = [s for s in spans if s[0] == "assign" and s not in base]
+        assert found and layers > 1 and not cut, name
+        assert all(start <= a < b <= start + len(hidden) for _, a, b in found), name
+    # only part of it is escaped: the find covers the plain part too
+    text = "say toke%6E%3D%22abcdefgh rest"
+    assert ("assign", 4, 4 + len("toke%6E%3D%22abcdefgh")) in secrets.scan(text)[1]
+    # base64 spans are as narrow as the encoding allows
+    text = b64(b"padding padding " + secret.encode() + b" padding")
+    (_, a, b), = secrets.scan(text)[1]
+    assert a in range(20, 23) and b <= len(text) - 8
+
+
+def test_fixpoint_and_limit():
+    assert secrets.scan("%2525252541 \\u005cu0041 " * 5)[2] > 3
+    bomb = b64(zlib.compress(b"a" * 5_000_000))
+    assert secrets.scan(bomb, limit=10_000)[3] and not secrets.scan(bomb)[3]
+
+
+def test_scan_documents(spark):
+    rows = [(1, None), (2, ""), (3, "token = abcdef0123"), (3, "token = abcdef0123"), (None, "AKIA" + "Z" * 16), (4, "w" * 200_000 + " " + b64(b"secret: hidden-value"))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, spans string")
+    got = secrets.scan_documents(docs).collect()
+    flat = sorted(((r["doc_id"], len(r["base"]), len(r["spans"])) for r in got), key=str)
+    assert flat == sorted([(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1), (None, 1, 1), (4, 0, 1)], key=str)
+    assert secrets.scan_documents(docs.limit(0)).count() == 0
+
+
+def plain_pieces(symbols, pieces):
+    at = n = 0
+    while at < len(symbols):
+        end = next((e for e in range(len(symbols), at, -1) if tuple(symbols[at:e]) in pieces), None)
+        if end is None:
+            return -1
+        at, n = end, n + 1
+    return n
+
+
+def test_automaton_equals_greedy_cutting():
+    rng = random.Random(5)
+    for _ in range(300):
+        pieces = {tuple(rng.choice(b"ab") for _ in range(rng.randrange(1, 5))) + ((wordpieces.END,) if rng.random() < 0.4 else ()) for _ in range(rng.randrange(1, 9))}
+        machine = wordpieces.Automaton(sorted(pieces))
+        for _ in range(30):
+            word = bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12)))
+            assert machine.count(word) == plain_pieces([*word, wordpieces.END], pieces), (pieces, word)
+
+
+def test_count_tokens(spark):
+    pieces = set(wordpieces.vocabulary_pieces(default_tokenizer()))
+    texts = ["The quick brown FOX, jumped!", "straße ñandú 🙂 naïve\x1cx", "unbelievability" * 3, "tie tie tie", "", None, " \n\t"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "tie tie tie"), (None, "tie"), (9, "long " * 40_000), (10, "z" * 30_000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, n_tokens int")
+    got = wordpieces.count_tokens(docs).collect()
+    want = []
+    for i, t in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        counts = {w: plain_pieces([*w.encode(), wordpieces.END], pieces) for w in set(words) if len(w) < 1000}
+        counts |= {w: wordpieces.Automaton(sorted(pieces)).count(w.encode()) for w in set(words) if len(w) >= 1000}
+        want.append((i, len(words), sum(counts[w] for w in words), 0))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert wordpieces.count_tokens(docs.limit(0)).count() == 0
