@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, packing, quality, secrets, simhash, toxicity, wordpieces
+from effortloom.llm import lines, minhash, packing, quality, secrets, shards, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """One-permutation MinHash of every document and of its edited copy."""
+    return minhash.edited_likeness(read(spark, folder, "documents"))
+
+
 def _span_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -52,6 +57,14 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpieces.count_tokens(read(spark, folder, "documents"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards 0 to 23 of near equal bytes."""
+    placed = shards.shard(read(spark, folder, "documents"), shards=24, row_overhead=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that every document loses and the digest of what stays."""
     return lines.dedup_lines(read(spark, folder, "documents"), min_chars=20, min_docs=3).select(
@@ -87,9 +100,11 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_minhash": op3_minhash,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
 }
