@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, minhash, packing, quality, secrets, shards, simhash, toxicity, wordpieces
+from effortloom.llm import lines, minhash, mixing, packing, quality, secrets, shards, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,17 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), capacity=2048)
 
 
+#: Target shares of tokens by domain.
+TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document at which the expected tokens of the domains meet their targets."""
+    domains = mixing.quality_domains(read(spark, folder, "labels"))
+    mixed = mixing.mix(read(spark, folder, "documents"), domains, TARGETS)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in TARGETS], "rate")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -107,5 +118,6 @@ QUERIES: dict[str, Query] = {
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
