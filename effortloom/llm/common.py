@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effortloom.session import pin
+
 #: White space of the word and line rules: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -30,3 +32,15 @@ def words(text: Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pin_python(df: DataFrame, rows_per_batch: int = 500) -> DataFrame:
+    """``pin`` for a frame that runs Python over whole texts: Arrow batches of few rows keep the memory of executors and
+    workers small however long the texts are. The session's own batch size is put back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows_per_batch))
+    try:
+        return pin(df)
+    finally:
+        conf.set(name, before)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
 from effortloom.llm.encode import Encoder
-from effortloom.session import pin
 
 PIECE_COLUMNS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -98,7 +98,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``. Offsets have no gaps."""
-    kept = pin(pieces.withColumn("_salt", F.monotonically_increasing_id()))
+    kept = pin_python(pieces.withColumn("_salt", F.monotonically_increasing_id()))
     groups = max(1, math.ceil(kept.count() / group_rows))
     # the salt spreads equal rows; it is stable because it is written
     dealt = kept.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_salt"), F.lit(groups))).drop("_salt")

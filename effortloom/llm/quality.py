@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
 from effortloom.session import pin
 
 SYMBOLS = b"#*$%&|<>"
@@ -119,7 +120,7 @@ def heavy_words(docs: DataFrame) -> DataFrame:
 def common_words(docs: DataFrame) -> list[str]:
     """Common words of every language with a reference of its own. At most 1/COMMON_SHARE words of each of at most
     1/LANGUAGE_SHARE languages, so the list is bounded whatever the corpus."""
-    heavy = pin(heavy_words(docs))
+    heavy = pin_python(heavy_words(docs))
     totals = heavy.where("word IS NULL").select("lang", F.col("n").alias("total"))
     everything = totals.agg(F.sum("total")).first()[0] or 0
     large = totals.where(F.col("total") >= LANGUAGE_SHARE * everything)
@@ -233,7 +234,7 @@ def judge(
     word_slack: float = 2.5,
 ) -> DataFrame:
     """Counts and verdict of every row: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``, ``base_failed``, ``class_distance``, ``word_distance``, ``kept``.
+    ``n_repeat_words``, ``digest`` (xxhash64 of the text), ``base_failed``, ``class_distance``, ``word_distance``, ``kept``.
 
     ``base_failed``: under ``min_words`` words, or over half the words in three-word windows that occur twice or more.
     ``kept`` is false then; else it is true if one reference - any large language or the whole corpus - is within
@@ -247,7 +248,7 @@ def judge(
         F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"),
     )
     vocabulary = common_words(rows)
-    counts = pin(document_counts(rows, vocabulary))
+    counts = pin_python(document_counts(rows, vocabulary))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed)
     class_refs, word_refs = references(counts.where(~F.col("base_failed")), vocabulary)
@@ -274,15 +275,15 @@ def judge(
                 out.append(np.column_stack([best, (best <= allowed).all(axis=1)]))
             found = np.concatenate(out) if out else np.zeros((0, 3))
             verdict = pa.array((found[:, 2] > 0) & ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            own = [batch.column(k) for k in (0, 1, 2, 6, 7, 8, 9)]
-            names = ["doc_id", "n_words", "base_failed", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+            own = [batch.column(k) for k in (0, 1, 2, 6, 7, 8, 9, 10)]
+            names = ["doc_id", "n_words", "base_failed", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest"]
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(found[:, 0]), pa.array(found[:, 1]), verdict], names=[*names, "class_distance", "word_distance", "kept"]
             )
 
-    used = ["doc_id", "n_words", "base_failed", "classes", "common", "times", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    used = ["doc_id", "n_words", "base_failed", "classes", "common", "times", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest"]
     return counts.select(*used).mapInArrow(
         run,
         "doc_id bigint, n_words bigint, base_failed boolean, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-        "n_repeat_words bigint, class_distance double, word_distance double, kept boolean",
+        "n_repeat_words bigint, digest bigint, class_distance double, word_distance double, kept boolean",
     )

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
+
 KINDS = ("assign", "access", "hex")
 #: The patterns of the three kinds, with the group that has to reach the least length.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -215,4 +217,4 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return rows.mapInArrow(run, f"doc_id bigint, base {kind}, spans {kind}, layers bigint, layers_cut boolean")
+    return pin_python(rows.mapInArrow(run, f"doc_id bigint, base {kind}, spans {kind}, layers bigint, layers_cut boolean"))

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
 from effortloom.llm.components import connected_components
 from effortloom.session import pin
 
@@ -47,7 +48,7 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (bigint) of every row.
+    """``doc_id``, ``digest`` (xxhash64 of the text) and ``fp`` (bigint) of every row.
 
     A-Z are lower-cased; words are what lies between blanks; shingles of ``shingle`` words are taken with repeats (a
     shorter text is one shingle) and hashed with XXH64, seed 42. A bit is 1 if more than half the hashes have it. A
@@ -59,12 +60,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [
                 simhash(text, shingle)
                 for at in range(0, batch.num_rows, 64)
-                for text in batch.column(1).slice(at, 64).to_pylist()
+                for text in batch.column(2).slice(at, 64).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], names=["doc_id", "digest", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, digest bigint, fp bigint")
 
 
 def _variants(rows: DataFrame, low: int, width: int, level: int) -> DataFrame:
@@ -147,21 +149,37 @@ def links(fps: DataFrame, distance: int = 3, crowded: int = CROWDED) -> DataFram
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3
 ) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` and ``fp`` for every row.
+    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, ``root`` (one number a component) and ``digest`` for
+    every row.
 
     Documents are linked when their fingerprints differ in ``distance`` bits or fewer; ``component_id`` is the smallest
     ``doc_id`` reachable, itself included. Rows with equal ids stay apart and share a component if their texts do. A
     row without an id gets the smallest id of its component, NULL if the component has none. An empty table gives an
     empty result.
     """
-    marked = pin(fingerprints(docs, id_col, text_col, shingle))
+    marked = pin_python(fingerprints(docs, id_col, text_col, shingle))
     distinct = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     edges = pin(links(distinct.select("fp"), distance).distinct())
     roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
     grouped = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "fp")
+    named = grouped.join(smallest, "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "root", "digest")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """One row of ``docs`` for each component: the smallest id, of equal ids the smallest text hash, of equal rows any.
+    Rows without an id stay only where a component has no other."""
+    found = near_duplicates(docs, id_col, text_col, **rules)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("b")).select(
+        F.col("b.doc_id").alias("_id"), F.col("b.digest").alias("_hash")
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col(f"row.`{id_col}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("_digest")
+    )
+    kept = rows.join(best, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_hash")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy("_digest"))
+    return kept.withColumn("_one", one).where("_one = 1").select("row.*")
 
 
 def hex64(fp: Column) -> Column:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
+
 BUCKETS = 1 << 22
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -145,7 +147,7 @@ def train(
         # the bound is the proof that the ids can be broadcast
         ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
-        table = hashed(texts).toArrow()["buckets"].combine_chunks()
+        table = pin_python(hashed(texts)).toArrow()["buckets"].combine_chunks()
         flat, stops = table.flatten().to_numpy(), np.cumsum([0, *table.value_lengths().to_pylist()])
         return [flat[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
@@ -186,4 +188,4 @@ def score(
             )
 
     marked = rows.select("doc_id", F.coalesce(fold() == held_out, F.lit(False)).alias("held_out"), "text")
-    return marked.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return pin_python(marked.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effortloom.llm.common import pin_python
 from effortloom.llm.encode import default_tokenizer
 
 #: Symbol for the end of a word, after the byte values.
@@ -132,4 +133,4 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return pin_python(rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint"))
