@@ -187,10 +187,10 @@ def fit_rates(
     miss = totals - total * w
     best = np.inf
     for _ in range(passes):
-        size = float(np.abs(miss).max())
-        if size <= tolerance * total or size > 0.9999 * best:
+        objective = float(miss @ inverse @ miss)
+        if np.abs(miss).max() <= tolerance * total or objective > (1 - 1e-7) * best:
             break
-        best = size
+        best = objective
         steps.append((inverse @ miss).tolist())
         now = posteriors.select("_n", "_p", rate(steps, k).alias("_r")).agg(*[F.sum(F.col("_n") * F.col("_r") * p(j)) for j in range(k)]).first()
         miss = np.array([x or 0.0 for x in now]) - total * w
