@@ -91,51 +91,110 @@ def chi2_sf(statistic: ColumnLike, df: int) -> Column:
     return 2 * norm_sf(root) + 2 * norm_pdf(root) * total
 
 
-def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b) by Lentz's continued fraction."""
-    flip = x > (a + 1) / (a + b + 2)
-    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    """ln gamma(z) less its leading Stirling terms; it is small and smooth, so no digits are lost for large z."""
+    exact = np.vectorize(lambda v: math.lgamma(v) - (v - 0.5) * math.log(v) + v - 0.5 * math.log(2 * math.pi), otypes=[float])
+    inverse = 1 / z
+    series = inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 * (1 / 1260 - inverse**2 / 1680)))
+    return np.where(z < 20, exact(np.minimum(z, 20.0)), series)
+
+
+def _log_power(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """ln of (x / x0)^a (y / (1 - x0))^b with y = 1 - x and x0 = a / (a + b): never positive, zero at x0."""
+    n = a + b
+    off = np.where(x < y, x * n - a, b - y * n)  # exact near x0, where the two logarithms nearly cancel
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return a * np.log1p(off / a) + b * np.log1p(-off / b)
+
+
+def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where that is known more exactly.
+
+    Lentz's continued fraction, run until it stands still. It needs about the root of the parameters in steps where x is
+    near the mean, so for two large parameters Temme's uniform expansion takes over, whose error falls with a + b.
+    """
+    a, b, x, y = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x, 1 - np.asarray(x) if y is None else y))
+    out = np.where(x <= 0, 0.0, 1.0)
+    inside = (x > 0) & (y > 0)
+    large = inside & (np.minimum(a, b) > 1e5)
+    out[large] = _beta_large(a[large], b[large], x[large], y[large])
+    small = inside & ~large
+    out[small] = _beta_small(a[small], b[small], x[small], y[small])
+    return out
+
+
+def _beta_large(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = a + b
+    x0 = a / n
+    gap = np.where(x < y, x * n - a, b - y * n) / n
+    power = np.minimum(_log_power(a, b, x, y), 0.0)
+    eta = np.sign(gap) * np.sqrt(-2 * power / n)
+    erfc = np.vectorize(math.erfc, otypes=[float])
+    root = np.sqrt(x0 * (1 - x0))
+    # near the mean both terms of the correction are large and opposite: its limit there
+    close = np.abs(eta) < 1e-5
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        first = np.where(close, (1 - 2 * x0) / (3 * root), 1 / eta - root / gap)
+    value = 0.5 * erfc(-eta * np.sqrt(n / 2)) + np.exp(power) / np.sqrt(2 * math.pi * n) * first
+    return np.clip(value, 0.0, 1.0)
+
+
+def _beta_small(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    flip = x > (a + 1) / (a + b + 2)
+    # with a far above b the fraction starts from a difference of nearly equal numbers; from the other end it does not
+    flip = flip | ((a > 1e4 * b) & (y * (a + b) < 4 * (b + 1)))
+    a, b, x, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, y, x), np.where(flip, x, y)
+    n = a + b
+    log_front = _log_power(a, b, x, y) + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b)
+    front = np.sqrt(a * b / (2 * math.pi * n)) * np.exp(log_front) / a
     tiny = 1e-300
 
     def guard(v):
         return np.where(np.abs(v) < tiny, tiny, v)
 
     c = np.ones_like(x)
-    d = 1 / guard(1 - (a + b) * x / (a + 1))
+    d = 1 / guard(1 - n * x / (a + 1))
     h = d
-    for m in range(1, steps + 1):
+    m = 0
+    moving = np.ones(x.shape, dtype=bool)
+    while moving.any():
+        m += 1
+        change = np.ones_like(x)
         for numerator in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+            -(a + m) * (n + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
         ):
             d = 1 / guard(1 + numerator * d)
             c = guard(1 + numerator / c)
-            h = h * d * c
-    out = np.where(x <= 0, 0.0, front * h)
-    return np.where(flip, 1 - out, out)
+            change = change * d * c
+        h = h * np.where(moving, change, 1.0)
+        moving = moving & (np.abs(change - 1) > 1e-15)
+        if m % 64 == 0:  # rounding may keep the last digit moving
+            moving = moving & (np.abs(change - 1) > 4e-15)
+    value = np.clip(front * h, 0.0, 1.0)
+    return np.where(flip, 1 - value, value)
 
 
 @F.pandas_udf(T.DoubleType())
-def beta_inc(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
-    frame = pd.DataFrame({"a": a, "b": b, "x": x}).astype(float)
+def beta_inc(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    frame = pd.DataFrame({"a": a, "b": b, "x": x, "y": y}).astype(float)
     known = frame.dropna()
     out = pd.Series(np.nan, index=frame.index)
     if len(known):
-        out[known.index] = beta_fraction(known["a"].to_numpy(), known["b"].to_numpy(), known["x"].to_numpy())
+        out[known.index] = beta_fraction(*(known[c].to_numpy() for c in "abxy"))
     return out.astype(object).where(out.notna(), None)
 
 
 def student_two_sided(t: ColumnLike, df: ColumnLike) -> Column:
     """Two-sided p-value of a t statistic."""
     value, n = as_col(t).cast("double"), as_col(df).cast("double")
-    return beta_inc(n / 2, F.lit(0.5), n / (n + value * value))
+    whole = n + value * value
+    return beta_inc(n / 2, F.lit(0.5), n / whole, value * value / whole)
 
 
 def binomial_cdf(successes: ColumnLike, trials: ColumnLike, p: ColumnLike) -> Column:
     """P(X <= successes), exact, through the incomplete beta."""
     k, n = as_col(successes).cast("double"), as_col(trials).cast("double")
-    inner = beta_inc(F.greatest(n - k, F.lit(0.5)), k + 1, 1 - as_col(p).cast("double"))
+    share = as_col(p).cast("double")
+    inner = beta_inc(F.greatest(n - k, F.lit(0.5)), k + 1, 1 - share, share)
     return F.when(k >= n, F.lit(1.0)).otherwise(inner)

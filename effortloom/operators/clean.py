@@ -40,18 +40,24 @@ def standardize(
     return attach(df, stats, by).withColumn(name or col, ratio(F.col(col) - F.col("_mean"), sd)).drop("_mean", "_sd")
 
 
-def hot_encode(df: DataFrame, field: str, values: Sequence | None = None, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per value of ``field``, which is dropped. A field with more than ``limit`` values raises: it
-    would need more columns than a plan can hold."""
-    if values is None:
-        rows = df.select(field).where(F.col(field).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{field} has more than {limit} values")
-        values = sorted(r[0] for r in rows)
+def hot_encode(df: DataFrame, field: str, values: Sequence) -> DataFrame:
+    """One 0/1 column per listed value of ``field``, which is dropped. The schema follows from the list alone; fields
+    with values without a list belong into :func:`hot_long`."""
     flags = [F.coalesce((F.col(field) == F.lit(v)).cast("int"), F.lit(0)).alias(str(v)) for v in values]
     return df.select(*[c for c in df.columns if c != field], *flags)
 
 
+def hot_long(df: DataFrame, identity: Sequence[str], field: str) -> DataFrame:
+    """The sparse form for any number of values: one row per row and value that is one, ``feature`` naming it."""
+    return df.where(F.col(field).isNotNull()).select(*identity, F.col(field).cast("string").alias("feature"), F.lit(1).alias("one"))
+
+
+def few_missing(df: DataFrame, cols: Sequence[str], keys: Sequence[str], share: float) -> DataFrame:
+    """Rows of the keys whose share of NULL cells in ``cols`` is at most ``share``."""
+    table = missing_share(df, cols, keys, "_na").where(F.col("_na") <= share)
+    return attach(df, table, keys).drop("_na")
+
+
 def missing_share(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), name: str = "p_na") -> DataFrame:
     """Share of NULL cells in ``cols`` per key, rounded to 3 digits."""
     from effortloom.functions.numbers import rnd

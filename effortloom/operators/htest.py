@@ -3,6 +3,7 @@ statistic and its p-value are expressions on one aggregated row."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -129,8 +130,8 @@ def clt_check(count: Column, nobs: Column) -> tuple[Column, Column]:
 
 
 def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[str] = (), **kwargs) -> DataFrame:
-    """Normality statistic W and p-value by Royston's published approximation, for six or more values per key. A
-    constant sample has no W."""
+    """Normality statistic W and p-value by Royston's published approximation, for three or more values per key: exact
+    for three, one corrected coefficient for four and five, two beyond. A constant sample has no W."""
     keys = list(keys)
     placed = ordered(
         df.where(F.col(value).isNotNull()).select(*keys, *identity, F.col(value).cast("double").alias("_x")),
@@ -140,7 +141,8 @@ def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[s
     scored = placed.withColumn("_m", m)
     at = lambda offset: F.max(F.when(F.col("_i") == offset, F.col("_x")))
     back = lambda offset: F.max(F.when(F.col("_i") == F.col("_n") - offset, F.col("_x")))
-    inner = (F.col("_i") >= 2) & (F.col("_i") < F.col("_n") - 2)
+    ends = F.when(F.col("_n") > 5, 2).otherwise(1)  # values at either end with a coefficient of their own
+    inner = (F.col("_i") >= ends) & (F.col("_i") < F.col("_n") - ends)
     sums = scored.groupBy(*keys).agg(
         F.max("_n").cast("double").alias("n"),
         F.sum(F.col("_m") * F.col("_m")).alias("mm"),
@@ -161,11 +163,15 @@ def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[s
     # Royston's polynomials, highest power first.
     a1 = poly((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0), u) + F.col("m1") / F.sqrt("mm")
     a2 = poly((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0), u) + F.col("m2") / F.sqrt("mm")
-    rest = ratio(
-        F.col("mm") - 2 * F.col("m1") * F.col("m1") - 2 * F.col("m2") * F.col("m2"), 1 - 2 * a1 * a1 - 2 * a2 * a2
+    left = F.col("mm") - 2 * F.col("m1") * F.col("m1")
+    outer = a1 * (F.col("xn") - F.col("x1"))
+    many = F.col("mx") / F.sqrt(ratio(left - 2 * F.col("m2") * F.col("m2"), 1 - 2 * a1 * a1 - 2 * a2 * a2)) + outer + a2 * (
+        F.col("xn1") - F.col("x2")
     )
-    top = F.col("mx") / F.sqrt(rest) + a1 * (F.col("xn") - F.col("x1")) + a2 * (F.col("xn1") - F.col("x2"))
-    w = F.when((F.col("n") >= 6) & (F.col("xn") > F.col("x1")), F.least(ratio(top * top, "ss"), F.lit(1.0)))
+    five = F.col("mx") / F.sqrt(ratio(left, 1 - 2 * a1 * a1)) + outer
+    three = F.sqrt(F.lit(0.5)) * (F.col("xn") - F.col("x1"))
+    top = F.when(F.col("n") > 5, many).when(F.col("n") > 3, five).otherwise(three)
+    w = F.when((F.col("n") >= 3) & (F.col("xn") > F.col("x1")), F.least(ratio(top * top, "ss"), F.lit(1.0)))
     n, log_n, gap = F.col("n"), F.log("n"), F.log(1 - F.col("statistic"))
     few = n < 12
     mean = F.when(few, poly((-0.0006714, 0.025054, -0.39978, 0.5440), n)).otherwise(
@@ -177,7 +183,9 @@ def shapiro(df: DataFrame, value: str, identity: Sequence[str], keys: Sequence[s
     bound = poly((0.459, -2.273), n)
     small = F.when(few & (gap < bound), -F.log(bound - gap))
     z = (F.when(few, small).otherwise(gap) - mean) / spread
-    out = sums.select(*keys, "n", w.alias("statistic")).withColumn("p", norm_sf(z))
+    exact = 6 / F.lit(math.pi) * (F.asin(F.sqrt("statistic")) - F.asin(F.sqrt(F.lit(0.75))))
+    p = F.when(n > 3, norm_sf(z)).otherwise(F.greatest(exact, F.lit(0.0)))
+    out = sums.select(*keys, "n", w.alias("statistic")).withColumn("p", F.when(F.col("statistic").isNotNull(), p))
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effortloom.operators.ordered import ordered
 
 
-# The default of spark.sql.optimizer.windowGroupLimitThreshold.
-RANK_LIMIT = 1000
-
-
 def digest(identity: Sequence[str], seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
 
@@ -23,17 +19,14 @@ def seeded_sample(
 ) -> DataFrame:
     """Exactly ``n`` rows, or ``n`` per key, without replacement. ``identity`` must name each row.
 
-    Without keys, and with keys up to the size for which Spark limits ranks ahead of the shuffle, at most ``n`` rows
-    per task and key travel. Larger samples per key are numbered by :func:`ordered`, which splits hot keys.
+    Without keys at most ``n`` rows per task travel. With keys rows are numbered by :func:`ordered`, which splits hot
+    keys, for every ``n`` alike.
     """
     marked = df.withColumn("_digest", digest(identity, seed))
     if not by:
         return marked.orderBy("_digest", *identity).limit(n).drop("_digest")
-    if n > RANK_LIMIT:
-        placed = ordered(marked, list(by), ["_digest", *identity], position="_i", **kwargs)
-        return placed.where(F.col("_i") < n).drop("_i", "_digest")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_digest", *identity))
-    return marked.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn", "_digest")
+    placed = ordered(marked, list(by), ["_digest", *identity], position="_i", **kwargs)
+    return placed.where(F.col("_i") < n).drop("_i", "_digest")
 
 
 def train_test_split(

@@ -46,10 +46,12 @@ def param_query(spark, d):
     return grouped.withColumn("total", rnd("total", 2))
 
 
-@query("tag_list", sql("SELECT project, version, CAST(date AS VARCHAR) AS date FROM release_effort ORDER BY date, project"))
+@query(
+    "tag_list", sql("SELECT project, version, CAST(date AS VARCHAR) AS date FROM release_effort ORDER BY date, project"))
 def tag_list(spark, d):
     tags = s.release_effort(spark, d).select("project", "version", F.col("date").cast("string").alias("date"))
-    return tags.orderBy("date", "project")
+    lines = tags.select(F.concat_ws(",", "project", F.concat(F.lit(" "), "version"), "date").alias("line"))
+    return gitlogs.parse_tags(lines).withColumn("date", F.col("date").cast("string")).orderBy("date", "project")
 
 
 @query(
@@ -69,7 +71,30 @@ def changelog_parse(spark, d):
 
 @query("commit_stats", sql("SELECT sha, e_module, e_line FROM changes"))
 def commit_stats(spark, d):
-    return s.changes(spark, d).select("sha", "e_module", "e_line")
+    """The counts rendered as ``--stat`` text, one text a commit, and parsed."""
+    body = F.concat(
+        F.lit("@"), F.lower(F.hex("sha")), F.lit("\n src/file.txt | 9 +-\n "), F.col("e_module"),
+        F.when(F.col("e_module") == 1, " file changed, ").otherwise(" files changed, "),
+        F.floor(F.col("e_line") / 3), F.lit(" insertions(+), "), F.col("e_line") - F.floor(F.col("e_line") / 3), F.lit(" deletions(-)\n"),
+    )
+    parsed = gitlogs.parse_commit_stats(s.changes(spark, d).select(body.alias("value")))
+    return parsed.withColumn("sha", F.conv("sha", 16, 10).cast("bigint"))
+
+
+@query(
+    "repo_list",
+    """SELECT 'https://github.com/' || replace(c_mktsegment, ' ', '-') || '/' || replace(c_name, '#', '-') AS url,
+       replace(c_mktsegment, ' ', '-') AS owner, replace(c_name, '#', '-') AS name, count(*) AS orders
+       FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL""",
+)
+def repo_list(spark, d):
+    """Repository lines parsed, and joined to the work on them by the key cut out of the address."""
+    slug = F.concat(F.replace("c_mktsegment", F.lit(" "), F.lit("-")), F.lit("/"), F.replace("c_name", F.lit("#"), F.lit("-")))
+    owners = load(spark, d, "customer").select("c_custkey", slug.alias("slug"))
+    repos = gitlogs.parse_repos(owners.select(F.concat(F.lit("https://github.com/"), "slug").alias("line")))
+    api = F.concat(F.lit("https://api.github.com/repos/"), "slug").alias("api_url")
+    work = load(spark, d, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey")).groupBy(api).agg(F.count(F.lit(1)).alias("orders"))
+    return repos.join(work, text.repo_key("api_url") == F.concat("owner", F.lit("/"), "name")).select("url", "owner", "name", "orders")
 
 
 @query(
@@ -106,6 +131,16 @@ def _gaps(spark, d):
     )
 
 
+@query(
+    "few_missing",
+    f"""SELECT g.* FROM ({_GAPS}) g JOIN (SELECT l_orderkey, avg(CAST(discount IS NULL AS INT) + CAST(tax IS NULL AS INT)) / 2 AS share
+        FROM ({_GAPS}) GROUP BY 1) s ON s.l_orderkey = g.l_orderkey WHERE s.share <= 0.1""",
+)
+def few_missing(spark, d):
+    """Rows of the orders with at most a tenth of the cells missing."""
+    return clean.few_missing(_gaps(spark, d), ["discount", "tax"], ["l_orderkey"], 0.1)
+
+
 @query("clean_dropna", f"SELECT * FROM ({_GAPS}) WHERE discount IS NOT NULL AND tax IS NOT NULL")
 def clean_dropna(spark, d):
     return _gaps(spark, d).dropna(subset=["discount", "tax"])
@@ -179,7 +214,7 @@ def standardize(spark, d):
     "SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS \"{v}\"" for v in "FOP") + " FROM orders",
 )
 def one_hot(spark, d):
-    return clean.hot_encode(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+    return clean.hot_encode(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])
 
 
 _VERSION = (

@@ -6,6 +6,8 @@ part names are commit messages, customers are users, events are pull-request his
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +48,11 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 def changes(spark: SparkSession, d: str) -> DataFrame:
     """Files and lines per commit and the part of its first line (smallest line number, then smallest part).
 
-    The pair is packed into one long - line numbers stay far below 2^23 and part keys below 2^40 - because a minimum
-    over a struct cannot be kept in a hash aggregation and would sort every line item.
+    The pair is one decimal, line number times 2^63 plus part, which holds any two such numbers and, unlike a struct, can
+    be kept in a hash aggregation.
     """
-    first = F.shiftleft(F.col("l_linenumber").cast("bigint"), 40) + F.col("l_partkey")
+    shift = F.lit(Decimal(1 << 63)).cast("decimal(19,0)")
+    first = (F.col("l_linenumber").cast("decimal(10,0)") * shift + F.col("l_partkey").cast("decimal(19,0)")).cast("decimal(30,0)")
     return (
         load(spark, d, "lineitem")
         .groupBy(F.col("l_orderkey").alias("sha"))
@@ -58,7 +61,7 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
             F.sum("l_quantity").cast("bigint").alias("e_line"),
             F.min(first).alias("_first"),
         )
-        .select("sha", "e_module", "e_line", F.col("_first").bitwiseAND(F.lit(2**40 - 1)).alias("p_partkey"))
+        .select("sha", "e_module", "e_line", (F.col("_first") % shift).cast("bigint").alias("p_partkey"))
     )
 
 

@@ -17,6 +17,9 @@ def build_session(master: str | None = None, name: str = "effortloom", **conf) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot key even where the next step could have reused the join's partitioning
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }

@@ -5,18 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-_schemas: dict[str, StructType] = {}
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table. Its schema is inferred on the first read only: the footer read is a Spark job of its own, and
-    a plan may mention a table many times. Files are listed anew on every call."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A parquet table; schema and files are read anew on every call."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def run_sql(spark: SparkSession, sql: str, folder: str | None = None, tables: Iterable[str] = (), **args) -> DataFrame:

@@ -112,3 +112,37 @@ def test_choice_of_test(spark):
     odd = frame(spark, k="odd", i=range(200), x=RNG.exponential(1, 200))
     got = htest.choose_one_sample(few.union(many).union(odd), "x", ["i"], 0.0, ["k"]).collect()
     assert {r["k"]: r["test"] for r in got} == {"few": "t", "many": "z", "odd": "signed_rank"}
+
+
+def test_incomplete_beta_at_every_size():
+    """Half of a fair binomial has the lower tail 1/2 + pmf / 2; a t tail tends to the normal one."""
+    import math
+
+    import numpy as np
+
+    from effortloom.functions.special import beta_fraction
+
+    for n in (1e2, 1e4, 1e6, 3e7, 1e9, 1e12):
+        pmf = math.exp(math.lgamma(n + 1) - 2 * math.lgamma(n / 2 + 1) - n * math.log(2)) if n < 1e6 else math.sqrt(2 / (math.pi * n)) * math.exp(-1 / (4 * n))
+        assert beta_fraction([n / 2], [n / 2 + 1], [0.5])[0] == pytest.approx(0.5 + pmf / 2, abs=1e-9)
+        t = 1.96
+        tail = beta_fraction([n / 2], [0.5], [n / (n + t * t)], [t * t / (n + t * t)])[0]
+        # two terms of the tail's expansion in 1 / n
+        want = math.erfc(t / math.sqrt(2)) + 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t**3 + t) / (4 * n)
+        assert tail == pytest.approx(want, abs=20 / n**2 + 1e-9)
+    grid = np.linspace(0.001, 0.999, 50)
+    for a, b in ((0.5, 0.5), (2, 3), (300, 70), (2e5, 3e5)):
+        low, high = beta_fraction(a, b, grid), beta_fraction(b, a, 1 - grid)
+        assert np.allclose(low + high, 1, atol=1e-9) and (np.diff(low) >= 0).all() and low.min() >= 0 and low.max() <= 1
+    assert beta_fraction([2.0, 2.0], [3.0, 3.0], [0.0, 1.0]).tolist() == [0.0, 1.0]
+
+
+def test_shapiro_of_small_samples(spark):
+    samples = {"three": [1, 2, 4], "four": [1, 2, 3, 4], "five": [1, 2, 3, 4, 5], "two": [1, 2], "flat": [3, 3, 3]}
+    rows = [(k, i, float(x)) for k, xs in samples.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {r["k"]: (r["statistic"], r["p"]) for r in htest.shapiro(df, "x", ["i"], ["k"]).collect()}
+    # Published results of the test.
+    for k, w, p in (("three", 0.964286, 0.636886), ("four", 0.992912, 0.971880), ("five", 0.986762, 0.967174)):
+        assert got[k] == (pytest.approx(w, abs=2e-5), pytest.approx(p, abs=2e-4))
+    assert got["two"] == (None, None) and got["flat"] == (None, None)

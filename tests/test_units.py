@@ -85,9 +85,8 @@ def test_scalers_on_constant_columns(spark):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "i int, f string")
-    assert [tuple(r) for r in clean.hot_encode(df, "f").orderBy("i").collect()] == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
-    with pytest.raises(ValueError):
-        clean.hot_encode(df, "f", limit=1)
+    assert [tuple(r) for r in clean.hot_encode(df, "f", ["x", "y"]).orderBy("i").collect()] == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
+    assert sorted(tuple(r) for r in clean.hot_long(df, ["i"], "f").collect()) == [(1, "x", 1), (2, "y", 1)]
 
 
 def test_best_model(spark):
