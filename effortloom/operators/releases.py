@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -36,13 +37,13 @@ def assign_release(commits: DataFrame, releases: DataFrame, key: str = "project"
     return commits.join(found, [key, date], "left")
 
 
-def commits_of_ranges(tags: DataFrame, parents: DataFrame, max_steps: int = 100_000) -> DataFrame:
+def commits_of_ranges(tags: DataFrame, parents: DataFrame) -> DataFrame:
     """Exact ancestry rule: commits reachable from a tag but not from the tag before it.
 
     ``tags`` (project, version, sha, previous_sha); ``parents`` (project, sha, parent). One step walks a generation
     of all ranges of all projects at once. Each generation is a pinned table of the commits first seen there; the
-    seen ones are re-pinned as one table from time to time, so the plan stays short. ``max_steps`` only guards against
-    endless input and raises instead of cutting the result.
+    seen ones are re-pinned as one table from time to time, so the plan stays short. The walk ends by
+    itself at any depth, because no commit is taken up twice for a range.
     """
     compact = 16
     name = ["project", "version", "sha", "wanted"]
@@ -54,7 +55,7 @@ def commits_of_ranges(tags: DataFrame, parents: DataFrame, max_steps: int = 100_
     edges = parents.where(F.col("parent").isNotNull()).select("project", "sha", "parent")
     frontier = pin(starts.distinct())
     seen = frontier
-    for step in range(1, max_steps + 1):
+    for step in itertools.count(1):
         older = (
             frontier.join(edges, ["project", "sha"])
             .select("project", "version", F.col("parent").alias("sha"), "wanted")
@@ -66,8 +67,6 @@ def commits_of_ranges(tags: DataFrame, parents: DataFrame, max_steps: int = 100_
         seen = seen.unionByName(frontier)
         if step % compact == 0:
             seen = pin(seen)
-    else:
-        raise ValueError("the parent table is deeper than max_steps")
     found = seen.groupBy("project", "version", "sha").agg(F.bool_and("wanted").alias("wanted"))
     return found.where("wanted").drop("wanted")
 
