@@ -5,10 +5,9 @@ the domains. Documents then get nonnegative rates - expected numbers of copies -
 domain come out at its target. Rates stay as near to one copy each as they can: the unknowns are as many as documents,
 the equations as few as domains.
 
-The fit is projected gradient descent on a least-squares objective. One pass over the posteriors gives the few domain
-totals, the driver solves a system of that size for the step, and every rate moves by the dot product of the step and
-its posterior, cut off at zero. A rate is therefore a fold of its posterior over the list of steps; rates are never
-stored between passes.
+The fit is projected gradient descent on a least-squares objective, with the projection - no rate below zero - applied
+to the sum of all steps. One pass over the posteriors gives the few domain totals, the driver solves a system of that
+size for the step, and every rate moves by the dot product of the step and its posterior. Rates are never stored.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effortloom.llm.common import words
+from effortloom.llm.common import BLANKS
 from effortloom.session import pin
 
 #: Places of the weight table; a word whose place is taken by a more telling one is left out.
@@ -29,19 +28,19 @@ PLACES = 8192
 
 
 def with_features(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_n`` (words of the text) and ``_w``: its distinct words, and marks for how far words repeat and how long
-    they are."""
-    n = F.size("_words")
-    repeat = F.floor(10 * F.size(F.array_distinct("_words")) / F.greatest(n, F.lit(1)))
-    length = F.least(F.floor(F.length(F.col(text)) / F.greatest(n, F.lit(1))), F.lit(20))
+    """Add ``_n`` (words of the text) and ``_w``: its words, and marks for how far words repeat and how long they are."""
+    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
+    cut = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    repeat = F.floor(10 * F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)))
+    length = F.least(F.floor(F.length(F.col(text)) / F.greatest(F.size("_words"), F.lit(1))), F.lit(20))
     marks = F.array(
-        F.concat(F.lit("\n repeat "), F.coalesce(repeat, F.lit(0)).cast("string")),
+        F.concat(F.lit("\n repeat "), repeat.cast("string")),
         F.concat(F.lit("\n length "), F.coalesce(length, F.lit(0)).cast("string")),
     )
     return (
-        df.withColumn("_words", words(F.col(text)))
-        .withColumn("_n", n.cast("long"))
-        .withColumn("_w", F.concat(F.array_distinct("_words"), marks))
+        df.withColumn("_words", cut)
+        .withColumn("_n", F.size("_words").cast("long"))
+        .withColumn("_w", F.concat("_words", marks))
         .drop("_words")
     )
 
@@ -108,7 +107,7 @@ def fit_classifier(
 
     sample = pin(texts.select("domain", "_w"))
     sizes = np.array(sample.agg(*each("n")).first(), dtype=float)
-    counts = sample.select("domain", F.explode("_w").alias("word")).groupBy("word").agg(*each("c"), F.count(F.lit(1)).alias("c"))
+    counts = sample.select("domain", F.explode(F.array_distinct("_w")).alias("word")).groupBy("word").agg(*each("c"), F.count(F.lit(1)).alias("c"))
     total = sizes.sum()
     pooled = F.col("c") / F.lit(max(total, 1.0))
     telling = []
@@ -141,91 +140,113 @@ def with_posterior(df: DataFrame, text: str, classifier: Classifier) -> DataFram
     return scored.withColumn("_p", softmax(F.col("_s"))).drop("_w", "_s")
 
 
-def rate(steps: list[list[float]], domains: int) -> Column:
-    """The rate of a row after the steps: one, less the step's dot product with its posterior, never below zero."""
-    if not steps:
-        return F.lit(1.0)
-    flat = _table([x for y in steps for x in y])
-
-    def move(r: Column, t: Column) -> Column:
-        dot = functools.reduce(operator.add, [F.get(F.col("_p"), F.lit(k)) * F.get(flat, t * domains + k) for k in range(domains)])
-        return F.greatest(F.lit(0.0), r - dot)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), move)
+def rate(pull: Sequence[float]) -> Column:
+    """The rate of a row: one, less the dot product of ``pull`` with its posterior, never below zero."""
+    dot = functools.reduce(operator.add, [F.get(F.col("_p"), F.lit(k)) * F.lit(float(z)) for k, z in enumerate(pull)])
+    return F.greatest(F.lit(0.0), 1 - dot)
 
 
 def fit_rates(
-    posteriors: DataFrame, weights: Sequence[float], total: float | None = None, tolerance: float = 1e-6, passes: int = 60
-) -> list[list[float]]:
-    """Steps whose ``rate`` brings the expected tokens of the domains to ``weights`` of ``total``.
-
-    ``posteriors`` has ``_n`` and ``_p``. Without ``total`` it is the largest one for which no domain is short of tokens.
-    The objective is the squared miss of the domain totals, measured by the inverse of the posteriors' token-weighted
-    Gram matrix, in the metric that counts a document by its tokens; its gradient then is the posterior times the solved
-    miss, and a step of one is safe. Ends when every domain is within ``tolerance`` of ``total``, when a pass gains
-    nothing more, or after ``passes``.
+    posteriors: DataFrame,
+    weights: Sequence[float],
+    total: float | None = None,
+    repeat: float = 1.0,
+    tolerance: float = 1e-6,
+    passes: int = 30,
+) -> list[float]:
+    """The ``pull`` whose ``rate`` brings the expected tokens of the domains to ``weights`` of ``total``.
+
+    ``posteriors`` has ``_n`` and ``_p``. Without ``total`` it is the one at which the domain of the largest weight keeps
+    all its tokens. A domain is not asked for more than ``repeat`` times what it has: a scarce one falls short of its
+    weight rather than being copied many times over or making the others shrink with it.
+    The objective is the squared miss of the domain totals. Gradients of all rates are the posteriors times one short
+    vector, so their sum over the passes - the pull - is all that is kept, and the cut at zero is applied to it anew in
+    every pass. The step solves the miss by the token-weighted Gram matrix of the posteriors whose rates are not cut,
+    summed up in the same pass; a step that makes the miss larger is halved. Ends when every domain is within
+    ``tolerance`` of ``total``, when steps gain nothing more, or after ``passes``; the best pull found is returned. Rates
+    of this form are those nearest to one among all that give the same totals, counting a document by its tokens.
     """
     k = len(weights)
     w = np.asarray(weights, dtype=float) / sum(weights)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
 
     def p(j: int) -> Column:
         return F.get(F.col("_p"), F.lit(j))
 
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    first = posteriors.agg(
-        *[F.sum(F.col("_n") * p(j)) for j in range(k)], *[F.sum(F.col("_n") * p(a) * p(b)) for a, b in pairs]
-    ).first()
-    totals, gram = np.array([x or 0.0 for x in first[:k]]), np.zeros((k, k))
-    for (a, b), x in zip(pairs, first[k:], strict=True):
-        gram[a, b] = gram[b, a] = x or 0.0
+    def totals_and_gram(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = posteriors.withColumn("_r", rate(pull)).withColumn("_a", F.when(F.col("_r") > 0, F.col("_n")).otherwise(0))
+        sums = rows.agg(
+            *[F.sum(F.col("_n") * F.col("_r") * p(j)) for j in range(k)], *[F.sum(F.col("_a") * p(a) * p(b)) for a, b in pairs]
+        ).first()
+        gram = np.zeros((k, k))
+        for (a, b), x in zip(pairs, sums[k:], strict=True):
+            gram[a, b] = gram[b, a] = x or 0.0
+        return np.array([x or 0.0 for x in sums[:k]]), gram
+
+    pull = best_pull = np.zeros(k)
+    totals, gram = totals_and_gram(pull)
     if not totals.sum():
-        return []
+        return pull.tolist()
     if total is None:
-        total = float((totals[w > 0] / w[w > 0]).min())
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[list[float]] = []
-    miss = totals - total * w
-    best = np.inf
+        total = float(totals[w.argmax()] / w.max())
+    wanted = np.minimum(total * w, repeat * totals)
+    miss = totals - wanted
+    best, step = np.inf, None
     for _ in range(passes):
-        objective = float(miss @ inverse @ miss)
-        if np.abs(miss).max() <= tolerance * total or objective > (1 - 1e-7) * best:
-            break
-        best = objective
-        steps.append((inverse @ miss).tolist())
-        now = posteriors.select("_n", "_p", rate(steps, k).alias("_r")).agg(*[F.sum(F.col("_n") * F.col("_r") * p(j)) for j in range(k)]).first()
-        miss = np.array([x or 0.0 for x in now]) - total * w
-    return steps
-
-
-def mix(
-    docs: DataFrame,
-    labelled: DataFrame,
-    targets: dict[str, float],
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    total: float | None = None,
-    **settings,
-) -> DataFrame:
-    """``row`` (the document as a struct), ``n_tokens``, ``p_<domain>`` for every domain of ``targets``, ``rate``.
-
-    NULL and empty texts have no tokens and a posterior from the marks alone. Rows with equal ids and texts get the
-    same rate. Labels of other domains, without a domain or without an id are ignored; with no labels at all every
-    posterior is even. An empty table gives an empty result.
-    """
-    domains = list(targets)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classifier = fit_classifier(plain, labelled.select("doc_id", "domain"), domains, **settings)
-    posteriors = pin(with_posterior(plain, "text", classifier).select("_n", "_p"))
-    steps = fit_rates(posteriors, [targets[d] for d in domains], total)
-    # texts are scored again rather than joined to their rates: that would shuffle them
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("_text", F.col(f"row.`{text_col}`").cast("string"))
-    scored = with_posterior(rows, "_text", classifier)
-    return scored.select(
-        "row", F.col("_n").alias("n_tokens"),
-        *[F.get(F.col("_p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)],
-        rate(steps, len(domains)).alias("rate"),
-    )
+        size = float(np.abs(miss).max())
+        if size < best:
+            gained = best - size
+            best, best_pull = size, pull
+            if size <= tolerance * total or gained <= 1e-9 * total:
+                break
+            step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k), hermitian=True) @ miss
+        else:
+            step = step / 2
+        pull = best_pull + step
+        totals, gram = totals_and_gram(pull)
+        miss = totals - wanted
+    return best_pull.tolist()
+
+
+class Mix:
+    """The fitted mix of a table: classifier, posteriors (written) and pull."""
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        labelled: DataFrame,
+        targets: dict[str, float],
+        id_col: str = "doc_id",
+        text_col: str = "text",
+        total: float | None = None,
+        repeat: float = 1.0,
+        **settings,
+    ):
+        self.docs, self.domains, self.text_col = docs, list(targets), text_col
+        plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.classifier = fit_classifier(plain, labelled.select("doc_id", "domain"), self.domains, **settings)
+        self.posteriors = pin(with_posterior(plain, "text", self.classifier).select("doc_id", "_n", "_p"))
+        self.pull = fit_rates(self.posteriors, [targets[d] for d in self.domains], total, repeat)
+
+    def _columns(self) -> list[Column]:
+        each = [F.get(F.col("_p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(self.domains)]
+        return [F.col("_n").alias("n_tokens"), *each, rate(self.pull).alias("rate")]
+
+    def rates(self) -> DataFrame:
+        """``doc_id``, ``n_tokens``, ``p_<domain>`` for every domain and ``rate`` of every row.
+
+        NULL and empty texts have no tokens and a posterior from the marks alone. Rows with equal ids and texts get the
+        same rate. Labels of other domains, without a domain or without an id are ignored; with no labels at all every
+        posterior is even. An empty table gives an empty result.
+        """
+        return self.posteriors.select("doc_id", *self._columns())
+
+    def rows(self) -> DataFrame:
+        """The same with ``row``, the document as a struct, in place of the id. Texts are scored again rather than joined
+        to their rates: that would shuffle them."""
+        rows = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("row"))
+        rows = rows.withColumn("_text", F.col(f"row.`{self.text_col}`").cast("string"))
+        return with_posterior(rows, "_text", self.classifier).select("row", *self._columns())
 
 
 def copies(mixed: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:

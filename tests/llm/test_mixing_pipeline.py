@@ -49,28 +49,36 @@ def test_rates_meet_the_targets(spark):
     tokens = rng.integers(0, 3000, 400)
     weights = [0.2, 0.75, 0.05]
     table = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "_n bigint, _p array<double>")
-    steps = mixing.fit_rates(table, weights)
-    rates = np.ones(400)
-    for y in steps:
-        rates = np.maximum(0, rates - p @ np.array(y))
-    got = [r[0] for r in table.select(mixing.rate(steps, 3)).collect()]
+    pull = mixing.fit_rates(table, weights)
+    rates = np.maximum(0, 1 - p @ np.array(pull))
+    got = [r[0] for r in table.select(mixing.rate(pull)).collect()]
     assert got == pytest.approx(rates.tolist(), abs=1e-9) and min(got) >= 0
     sums = (tokens * rates) @ p
     assert sums / sums.sum() == pytest.approx(weights, abs=1e-4)
     totals = tokens @ p
     assert sums.sum() == pytest.approx((totals / weights).min(), rel=1e-4)
-    # nearest to one copy each: no change of the rates that keeps the totals lies nearer (conditions of Karush, Kuhn, Tucker)
-    free = rates > 0
-    dual = np.linalg.lstsq(p[free], 1 - rates[free], rcond=None)[0]
-    assert np.abs(p[free] @ dual - (1 - rates[free])).max() < 1e-3
-    assert mixing.fit_rates(table.where("_n < 0"), weights) == []
+    # a rate is the cut of a linear form of the posterior: the condition for being nearest to one copy each
+    assert (rates == 0).any() and (rates > 0).any()
+    # plain projected gradient descent from one copy each ends at the same totals
+    slow, a = np.ones(400), p * tokens[:, None]
+    for _ in range(2000):
+        slow = np.maximum(0, slow - p @ np.linalg.solve((p * tokens[:, None]).T @ p, a.T @ slow - sums))
+    assert a.T @ slow == pytest.approx(sums, rel=1e-3)
+    # a domain that is all but missing neither blows up the rates nor shrinks the others
+    scarce = spark.createDataFrame([(100, [0.9999, 0.0001]), (100, [0.99, 0.01]), (50, [1.0, 0.0])], "_n bigint, _p array<double>")
+    got = [r[0] for r in scarce.select(mixing.rate(mixing.fit_rates(scarce, [0.5, 0.5]))).collect()]
+    assert got == pytest.approx([1, 1, 1], abs=1e-6)
+    assert mixing.fit_rates(table.where("_n < 0"), weights) == [0.0, 0.0, 0.0]
 
 
 def test_mix(spark):
     rows, labels = documents()
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], DOCS + ", rate double")
     marks = mixing.quality_domains(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
-    got = mixing.mix(docs, marks, MILD).collect()
+    mixed = mixing.Mix(docs, marks, MILD)
+    got = mixed.rows().collect()
+    flat = sorted((r["row"]["doc_id"] or -1, r["n_tokens"], r["rate"]) for r in got)
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["rate"]) for r in mixed.rates().collect()) == flat
     assert len(got) == len(rows)
     for r in got:
         assert r["n_tokens"] == len((r["row"]["text"] or "").split()) and sum(r[f"p_{d}"] for d in MILD) == pytest.approx(1)
@@ -79,16 +87,15 @@ def test_mix(spark):
             assert r[f"p_{kind}"] == max(r[f"p_{d}"] for d in MILD)
     sums = np.array([sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in got) for d in MILD])
     assert sums / sums.sum() == pytest.approx(list(MILD.values()), abs=1e-4)
-    mixed = mixing.mix(docs, marks, MILD)
-    drawn = mixing.copies(mixed)
+    drawn = mixing.copies(mixed.rows())
     assert drawn.columns == docs.columns
     times = Counter(r["doc_id"] for r in drawn.collect())
     for r in got:
         i = r["row"]["doc_id"]
         if i not in (7, None):
             assert times[i] in (int(r["rate"]), int(r["rate"]) + 1)
-    assert mixing.mix(docs.limit(0), marks, MILD).count() == 0
-    even = mixing.mix(docs, marks.limit(0), MILD).select("p_clean").distinct().collect()
+    assert mixing.Mix(docs.limit(0), marks, MILD).rates().count() == 0
+    even = mixing.Mix(docs, marks.limit(0), MILD).rates().select("p_clean").distinct().collect()
     assert [r[0] for r in even] == pytest.approx([1 / 3])
 
 
