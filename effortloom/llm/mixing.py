@@ -23,60 +23,42 @@ from pyspark.sql import functions as F
 from effortloom.llm.common import BLANKS
 from effortloom.session import pin
 
-#: Places of the weight table; a word whose place is taken by a more telling one is left out.
-PLACES = 8192
+#: Levels of a count of telling words: none, one, two or three, four to seven, and so on.
+LEVELS = 6
 
 
-def with_features(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_n`` (words of the text) and ``_w``: its words, and marks for how far words repeat and how long they are."""
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_w``, the words of the text, and ``_n``, their number."""
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
     cut = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
-    repeat = F.floor(10 * F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)))
-    length = F.least(F.floor(F.length(F.col(text)) / F.greatest(F.size("_words"), F.lit(1))), F.lit(20))
-    marks = F.array(
-        F.concat(F.lit("\n repeat "), repeat.cast("string")),
-        F.concat(F.lit("\n length "), F.coalesce(length, F.lit(0)).cast("string")),
-    )
-    return (
-        df.withColumn("_words", cut)
-        .withColumn("_n", F.size("_words").cast("long"))
-        .withColumn("_w", F.concat("_words", marks))
-        .drop("_words")
-    )
-
-
-def _place(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(PLACES)).cast("int")
+    return df.withColumn("_w", cut).withColumn("_n", F.size("_w").cast("long"))
 
 
-def _table(values: Sequence[float]) -> Column:
-    """A literal array, written as text so that it is one node of the plan."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+def with_marks(df: DataFrame, text: str, telling: list[list[str]]) -> DataFrame:
+    """Add ``_m``, what the classifier sees of a text: per domain the level of how many of its telling words occur, then
+    how far words repeat (tenths) and how long they are. Absence counts too: it is level zero."""
+    levels = []
+    for some in telling:
+        hits = F.size(F.array_intersect(F.col("_w"), F.split(F.lit("\t".join(some)), "\t"))) if some else F.lit(0)
+        levels.append(F.least(F.floor(F.log2(hits + 1.0)), F.lit(LEVELS - 1)).cast("int"))
+    n = F.greatest(F.col("_n"), F.lit(1))
+    repeat = F.floor(10 * F.size(F.array_distinct("_w")) / n).cast("int")
+    length = F.least(F.floor(F.coalesce(F.length(F.col(text)), F.lit(0)) / n), F.lit(20)).cast("int")
+    return df.withColumn("_m", F.array(*levels, repeat, length))
 
 
 class Classifier:
-    """Naive Bayes on the presence of the vocabulary's words: log prior in ``base``, log likelihood in ``weights``."""
+    """Naive Bayes on the marks: ``base`` log priors, ``tables`` log likelihoods by mark, value and domain."""
 
-    def __init__(self, domains: list[str], vocabulary: list[str], places: list[int], base: np.ndarray, weights: np.ndarray):
-        self.domains, self.vocabulary, self.base = domains, vocabulary, base
-        self.tables = np.zeros((len(domains), PLACES))
-        if places:
-            self.tables[:, places] = weights.T
+    def __init__(self, domains: list[str], telling: list[list[str]], base: np.ndarray, tables: list[np.ndarray]):
+        self.domains, self.telling, self.base, self.tables = domains, telling, base, tables
 
-    def posterior(self, features: str) -> Column:
-        """Array of domain probabilities of a row, summing to one; ``features`` is the column of its words."""
-        scores = [F.lit(float(b)) for b in self.base]
-        if self.vocabulary:
-            known = F.transform(
-                F.array_intersect(F.col(features), F.split(F.lit("\t".join(self.vocabulary)), "\t")), _place
-            )
+    def scores(self) -> Column:
+        def score(d: int) -> Column:
+            parts = [F.get(F.array(*[F.lit(float(x)) for x in t[:, d]]), F.get(F.col("_m"), F.lit(k))) for k, t in enumerate(self.tables)]
+            return functools.reduce(operator.add, parts, F.lit(float(self.base[d])))
 
-            def present(table: np.ndarray) -> Column:
-                weights = _table(table)
-                return F.aggregate(known, F.lit(0.0), lambda s, i: s + F.get(weights, i))
-
-            scores = [F.lit(float(b)) + present(t) for b, t in zip(self.base, self.tables, strict=True)]
-        return F.array(*scores)
+        return F.array(*[score(d) for d in range(len(self.domains))])
 
 
 def softmax(scores: Column) -> Column:
@@ -89,55 +71,55 @@ def fit_classifier(
     labelled: DataFrame,
     domains: list[str],
     max_labelled: int = 20_000,
-    vocabulary: int = 512,
+    vocabulary: int = 200,
     least_documents: int = 5,
 ) -> Classifier:
     """Fit on at most ``max_labelled`` rows of ``labelled`` (doc_id, domain), chosen by a digest of the id.
 
-    Words of ``least_documents`` sampled documents or more are candidates; those whose rate in one domain stands out most
-    against the others are the vocabulary. ``docs`` has doc_id and text.
+    Telling words of a domain are those of ``least_documents`` sampled documents or more whose rate in it exceeds their
+    rate elsewhere by most standard errors, four at least; ``vocabulary`` a domain. ``docs`` has doc_id and text.
     """
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     ids = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     ids = pin(ids)  # its size is bounded, so it may be broadcast
-    texts = with_features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "text")
+    sample = pin(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("domain", "text"))
 
     def each(name: str) -> list[Column]:
         return [F.count(F.when(F.col("domain") == d, 1)).alias(f"{name}{k}") for k, d in enumerate(domains)]
 
-    sample = pin(texts.select("domain", "_w"))
     sizes = np.array(sample.agg(*each("n")).first(), dtype=float)
-    counts = sample.select("domain", F.explode(F.array_distinct("_w")).alias("word")).groupBy("word").agg(*each("c"), F.count(F.lit(1)).alias("c"))
     total = sizes.sum()
+    present = with_words(sample, "text").select("domain", F.explode(F.array_distinct("_w")).alias("word"))
+    counts = present.groupBy("word").agg(*each("c"), F.count(F.lit(1)).alias("c")).where(
+        (F.col("c") >= least_documents) & ~F.col("word").contains("\t")
+    )
+    counts = pin(counts)
+    telling: list[list[str]] = []
     pooled = F.col("c") / F.lit(max(total, 1.0))
-    telling = []
     for k, n in enumerate(sizes):
         rest = total - n
-        if n and rest:
-            apart = F.col(f"c{k}") / F.lit(n) - (F.col("c") - F.col(f"c{k}")) / F.lit(rest)
-            telling.append(F.abs(apart) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n + 1 / rest) + F.lit(1e-12)))
-    picked = []
-    if telling:
-        strength = F.greatest(*telling) if len(telling) > 1 else telling[0]
-        candidates = counts.where((F.col("c") >= least_documents) & ~F.col("word").contains("\t")).withColumn("strength", strength)
-        picked = candidates.withColumn("place", _place(F.col("word"))).orderBy(F.desc("strength"), "word").limit(vocabulary).collect()
-    taken, rows = set(), []
-    for r in picked:
-        if r["place"] not in taken:
-            taken.add(r["place"])
-            rows.append(r)
-    present = np.array([[r[f"c{k}"] for k in range(len(domains))] for r in rows], dtype=float).reshape(len(rows), len(domains))
-    share = (present + 1) / (sizes + 2)
-    # absent words say nothing: a text of another language lacks all common words of the large one
-    weights = np.log(share) - np.log((present.sum(axis=1, keepdims=True) + 1) / (total + 2))
-    base = np.log((sizes + 1) / (total + len(domains)))
-    return Classifier(domains, [r["word"] for r in rows], [r["place"] for r in rows], base, weights)
+        if not n or not rest:
+            telling.append([])
+            continue
+        apart = F.col(f"c{k}") / F.lit(n) - (F.col("c") - F.col(f"c{k}")) / F.lit(rest)
+        z = apart / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n + 1 / rest) + F.lit(1e-12))
+        best = counts.select("word", z.alias("z")).where("z >= 4").orderBy(F.desc("z"), "word").limit(vocabulary)
+        telling.append([r["word"] for r in best.collect()])
+    marked = with_marks(with_words(sample, "text"), "text", telling)
+    seen = marked.select("domain", F.posexplode("_m").alias("mark", "value")).groupBy("mark", "value").agg(*each("c")).collect()
+    widths = [LEVELS] * len(domains) + [11, 21]
+    tables = [np.ones((width, len(domains))) for width in widths]
+    for r in seen:
+        tables[r["mark"]][r["value"]] += [r[f"c{k}"] for k in range(len(domains))]
+    return Classifier(
+        domains, telling, np.log((sizes + 1) / (total + len(domains))), [np.log(t / t.sum(axis=0)) for t in tables]
+    )
 
 
 def with_posterior(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
     """Add ``_n`` (tokens, here words) and ``_p`` (posterior)."""
-    scored = with_features(df, text).withColumn("_s", classifier.posterior("_w"))
-    return scored.withColumn("_p", softmax(F.col("_s"))).drop("_w", "_s")
+    scored = with_marks(with_words(df, text), text, classifier.telling).withColumn("_s", classifier.scores())
+    return scored.withColumn("_p", softmax(F.col("_s"))).drop("_w", "_m", "_s")
 
 
 def rate(pull: Sequence[float]) -> Column:
@@ -235,7 +217,7 @@ class Mix:
     def rates(self) -> DataFrame:
         """``doc_id``, ``n_tokens``, ``p_<domain>`` for every domain and ``rate`` of every row.
 
-        NULL and empty texts have no tokens and a posterior from the marks alone. Rows with equal ids and texts get the
+        NULL and empty texts have no tokens and a posterior from the absence of words. Rows with equal ids and texts get the
         same rate. Labels of other domains, without a domain or without an id are ignored; with no labels at all every
         posterior is even. An empty table gives an empty result.
         """
