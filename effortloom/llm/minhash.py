@@ -2,8 +2,8 @@
 
 Every shingle of a text is hashed once; the top bits of the hash choose one of ``BINS`` bins, the rest is its value, and
 each bin keeps its smallest value. Sorting the hashes puts the bins in order, so the first of every run is the minimum.
-An empty bin is filled by optimal densification: it takes over the value of a non-empty bin chosen by a hash of the two
-bin numbers alone - the non-empty bin whose hash with it is smallest, which is uniform among them and needs no retries.
+An empty bin is filled by optimal densification: it asks bins in a random order of its own, fixed by a hash of the bin
+numbers alone, and takes over the value of the first one that is not empty, which is uniform among these.
 Of every bin the low ``BITS`` bits are kept, eight bins to a 64-bit word. Two unequal values agree in them by chance once
 in 2^BITS, so the share of equal bins is corrected for that.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import operator
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ VALUE_BITS = 56
 WORDS = BINS * BITS // 64
 
 
+@functools.cache
+def probe_order() -> list[list[int]]:
+    """For every bin the order in which others are asked for a value: all bins by a hash of the two numbers."""
+    return [sorted(range(BINS), key=lambda j: xxhash.xxh64_intdigest(bytes([b, j]))) for b in range(BINS)]
+
+
 def add_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 5) -> DataFrame:
     """Add ``name``: the fingerprint of column ``text`` as WORDS 64-bit numbers; without words an empty array.
 
@@ -54,15 +61,13 @@ def add_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 5) -> Da
     )
     low = (1 << BITS) - 1
 
-    def borrowed(b: Column) -> Column:
-        # the hash in front decides, the value's low bits ride along
-        return F.array_min(
-            F.transform("_f", lambda x: F.shiftleft(F.shiftrightunsigned(F.xxhash64(b, bin_of(x)), BITS + 1), BITS) + x.bitwiseAND(low))
-        ).bitwiseAND(low)
-
+    # the first of a bin's probes that is not empty; array_intersect keeps their order
+    probes = F.split(F.lit(",".join(str(j) for row in probe_order() for j in row)), ",").cast("array<int>")
     values = F.transform(
         F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda b: F.coalesce(F.get(F.col("_d"), b).bitwiseAND(low), borrowed(b)),
+        lambda b: F.when(F.get(F.col("_d"), b).isNotNull(), F.get(F.col("_d"), b))
+        .otherwise(F.get(F.col("_d"), F.get(F.array_intersect(F.slice(probes, b * BINS + 1, BINS), F.col("_e")), F.lit(0))))
+        .bitwiseAND(low),
     )
     a_word = 64 // BITS
     packed = F.transform(
@@ -74,9 +79,10 @@ def add_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 5) -> Da
     )
     return (
         df.withColumn("_h", hashes).withColumn("_k", keys).withColumn("_f", firsts).withColumn("_d", F.flatten(gaps))
+        .withColumn("_e", F.transform("_f", bin_of))
         .withColumn("_v", F.when(F.size("_f") > 0, values))
         .withColumn(name, F.when(F.col("_v").isNull(), F.array().cast("array<bigint>")).otherwise(packed))
-        .drop("_h", "_k", "_f", "_d", "_v")
+        .drop("_h", "_k", "_f", "_d", "_e", "_v")
     )
 
 

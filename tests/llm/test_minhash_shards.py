@@ -26,11 +26,6 @@ def chain(*longs):
     return seed
 
 
-def chain_int(b, other):
-    """Spark hashes ints with a variant for four bytes; worked out on the plain definition."""
-    return word_hash(int(other).to_bytes(4, "little", signed=True), word_hash(int(b).to_bytes(4, "little", signed=True)))
-
-
 def plain_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     hs = [word_hash(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", low)]
@@ -47,7 +42,7 @@ def plain_fingerprint(text):
     values = []
     for b in range(minhash.BINS):
         if b not in bins:
-            b = min(bins, key=lambda j: ((chain_int(b, j) % 2**64) >> 9, bins[j] & 255))
+            b = next(j for j in sorted(range(minhash.BINS), key=lambda j: xxhash.xxh64(bytes([b, j])).intdigest()) if j in bins)  # noqa: B023
         values.append(bins[b] & 255)
     return values
 
