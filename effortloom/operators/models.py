@@ -1,4 +1,4 @@
-"""Pooled models from MLlib: one model over all keys, the key being a feature."""
+"""Ensembles: forests per key on the grouped tree; boosting and isotonic fits pooled over keys by MLlib."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from effortloom.operators.ordered import attach
+from effortloom.operators.tree import grouped_cart
+
 
 def _assembled(df: DataFrame, key: str | None, xs: Sequence[str], regressor, y: str, name: str) -> DataFrame:
     stages, inputs = [], list(xs)
     if key:
+        # a category takes a bin of its own
+        regressor.setMaxBins(max(64, df.select(key).distinct().count() + 1))
         stages.append(StringIndexer(inputCol=key, outputCol="_key", stringOrderType="alphabetAsc"))
         inputs.append("_key")
     stages += [VectorAssembler(inputCols=inputs, outputCol="_features"), regressor]
@@ -22,20 +27,40 @@ def _assembled(df: DataFrame, key: str | None, xs: Sequence[str], regressor, y:
     return fitted.transform(df).drop("_features", "_key")
 
 
+# The distribution function of a Poisson variable with mean one, which bootstrap counts tend to.
+BOOTSTRAP_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def bootstrap_copies(identity: Sequence[str], tree: str, seed: int = 0) -> Column:
+    """How often a row takes part in a tree: a Poisson count drawn by a digest of its identity and the tree."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(tree).cast("string"), *[F.col(c).cast("string") for c in identity]))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+    return sum(((u >= step).cast("int") for step in BOOTSTRAP_STEPS), F.lit(0))
+
+
 def random_forest(
-    df: DataFrame, xs: Sequence[str], y: str, key: str | None = None, trees: int = 10, depth: int = 10, seed: int = 0,
-    min_split: int = 10, name: str = "predicted",
+    df: DataFrame, keys: Sequence[str], identity: Sequence[str], xs: Sequence[str], y: str, trees: int = 10, depth: int = 10,
+    min_split: int = 10, seed: int = 0, name: str = "predicted", **kwargs,
 ) -> DataFrame:
-    """``min_split`` becomes a floor of half as many rows per child, the closest setting MLlib has."""
-    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=max(1, min_split // 2), maxBins=64)
-    return _assembled(df, key, xs, model, y, name)
+    """A forest per key, all keys and trees grown together: the tree number is one more key of :func:`grouped_cart`.
+    ``identity`` names a row within its key. A row that a tree did not draw is still scored by it."""
+    keys, identity = list(keys), list(identity)
+    drawn = (
+        df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .withColumn("_w", bootstrap_copies([*keys, *identity], "_tree", seed))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_w", F.lit(1)))))
+        .withColumn("_train", F.col("_w") > 0)
+    )
+    grown = grouped_cart(drawn, [*keys, "_tree"], xs, y, "_train", depth, min_split, "_hat", **kwargs)
+    scores = grown.where("_copy = 1").groupBy(*keys, *identity).agg(F.avg("_hat").alias(name))
+    return attach(df, scores, [*keys, *identity], "left")
 
 
 def gradient_boosting(
     df: DataFrame, xs: Sequence[str], y: str, key: str | None = None, trees: int = 20, depth: int = 3, seed: int = 0,
     name: str = "predicted",
 ) -> DataFrame:
-    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=64)
+    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
     return _assembled(df, key, xs, model, y, name)
 
 

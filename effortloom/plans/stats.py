@@ -654,9 +654,26 @@ def _pooled(spark, d):
     return s.filled(spark, d).select("project", "task", "version", "nt_ec", "no_ec", "t_ec", "t_line_p", F.col("line_ec").cast("double").alias("y"))
 
 
-@query("random_forest")
+_FOREST = _TREE_ROWS.format(y="line_ec").replace(", true AS is_train", "")
+_DRAWN = """SELECT r.*, tree, copy, w > 0 AS is_train FROM (SELECT *,
+    CAST(u >= exp(-1) AS INT) + CAST(u >= 2 * exp(-1) AS INT) + CAST(u >= 2.5 * exp(-1) AS INT) + CAST(u >= 8 / 3.0 * exp(-1) AS INT)
+    + CAST(u >= 65 / 24.0 * exp(-1) AS INT) + CAST(u >= 163 / 60.0 * exp(-1) AS INT) AS w FROM (
+    SELECT r.*, tree, CAST(('0x' || substr(md5(concat_ws('|', '0', CAST(tree AS VARCHAR), project, task, version)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+    FROM forest_rows r, range(10) t(tree))) r, range(1, 8) c(copy) WHERE copy <= greatest(w, 1)"""
+
+
+@query(
+    "random_forest",
+    sql(
+        f"""SELECT project, task, {r('avg(abs(y - hat))', 4)} AS mae, {r('avg(power(y - hat, 2))', 4)} AS mse, {r('sqrt(avg(power(y - hat, 2)))', 4)} AS rmse
+        FROM (SELECT project, task, version, any_value(y) AS y, avg(leaf) AS hat FROM f_t_r10
+              JOIN (SELECT project, task, tree, node, avg(y) AS leaf FROM f_t_r10 WHERE is_train GROUP BY ALL) USING (project, task, tree, node)
+              WHERE copy = 1 GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        forest_rows=_FOREST, forest_drawn=_DRAWN, **cart_ctes("forest_drawn", "project, task, tree", _X, "y", "f_t"),
+    ),
+)
 def random_forest(spark, d):
-    out = models.random_forest(_pooled(spark, d), ["nt_ec", "no_ec", "t_ec", "t_line_p"], "y", "project")
+    out = models.random_forest(_pooled(spark, d), KEYS, ["version"], ["nt_ec", "no_ec", "t_ec", "t_line_p"], "y", bounded=True)
     return rounded(metrics.error_metrics(out, KEYS), ["mae", "mse", "rmse"], 4)
 
 

@@ -176,8 +176,20 @@ def test_isotonic_equals_min_max_formula(spark, frame, df):
 
 
 def test_pooled_models_beat_the_mean(df):
-    for out in (models.random_forest(df, ["a", "b"], "y", "g"), models.gradient_boosting(df, ["a", "b"], "y", "g")):
-        assert out.agg(metrics.r_squared("y", "predicted")).first()[0] > 0.8
+    out = models.gradient_boosting(df, ["a", "b"], "y", "g")
+    assert out.agg(metrics.r_squared("y", "predicted")).first()[0] > 0.8
+
+
+def test_pooled_models_take_many_keys(spark):
+    many = spark.createDataFrame([(f"p{i % 90}", float(i % 7), float(i % 7 * 3)) for i in range(900)], "g string, a double, y double")
+    out = models.gradient_boosting(many, ["a"], "y", "g", trees=2)
+    assert out.count() == 900
+
+
+def test_forest_per_key_beats_the_mean(df):
+    out = models.random_forest(df, ["g"], ["i"], ["a", "b"], "y", trees=3, depth=4, bounded=True)
+    scores = out.groupBy("g").agg(metrics.r_squared("y", "predicted").alias("r")).collect()
+    assert out.count() == df.count() and min(r["r"] for r in scores) > 0.5
 
 
 def test_adjusted_r2_guard(spark):
