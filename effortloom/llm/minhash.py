@@ -42,7 +42,7 @@ def add_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 5) -> Da
     short = F.array(F.shiftrightunsigned(F.xxhash64("_h"), 1))
     long = F.transform(
         F.sequence(F.lit(0), F.size("_h") - shingle),
-        lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(shingle)]), 1),
+        lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_h"), i + 1, shingle)), 1),
     )
     n = F.size("_h")
     keys = F.sort_array(F.when(n == 0, F.array().cast("array<bigint>")).when(n < shingle, short).otherwise(long))
@@ -50,7 +50,8 @@ def add_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 5) -> Da
     def bin_of(x: Column) -> Column:
         return F.shiftright(x, VALUE_BITS).cast("int")
 
-    firsts = F.filter("_k", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col("_k"), i - 1))))
+    # the key before the first is NULL
+    firsts = F.filter("_k", lambda x, i: F.coalesce(F.shiftright(x.bitwiseXOR(F.get(F.col("_k"), i - 1)), VALUE_BITS) != 0, F.lit(True)))
     # one entry a bin, NULL where it is empty
     gaps = F.transform(
         "_f",
