@@ -168,9 +168,13 @@ def near_duplicates(
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """One row of ``docs`` for each component: the smallest id, of equal ids the smallest text hash, of equal rows any.
-    Rows without an id stay only where a component has no other."""
-    found = near_duplicates(docs, id_col, text_col, **rules)
+    """One row of ``docs`` for each component; see ``one_each``."""
+    return one_each(docs, near_duplicates(docs, id_col, text_col, **rules), id_col, text_col)
+
+
+def one_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``found``: the smallest id, of equal ids the smallest text hash, of equal
+    rows any. Rows without an id stay only where a component has no other."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("b")).select(
         F.col("b.doc_id").alias("_id"), F.col("b.digest").alias("_hash")
     )

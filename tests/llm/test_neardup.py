@@ -1,0 +1,69 @@
+"""Near-duplicate groups of the pipeline stage against brute force over exact likeness."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from effortloom.llm import neardup, simhash
+from tests.llm.test_simhash import roots
+
+
+def plain_set(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or ({" ".join(words)} if words else set())
+
+
+def like(a, b):
+    return a == b or (bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b))
+
+
+def edited(rng, words, n):
+    out = words.copy()
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def corpus():
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [" ".join(fresh(rng.randrange(1, 200))) for _ in range(60)]
+    for n, edits in ((60, 1), (120, 2), (200, 4), (400, 8), (400, 6), (300, 5), (400, 30)):  # likeness from 0.5 to 0.9
+        base = fresh(n)
+        texts += [" ".join(base), " ".join(edited(rng, base, edits)), " ".join(base[:-3])]
+    chain = fresh(150)  # each like the next, the ends unlike
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = edited(rng, chain, 2)
+    crowd = fresh(200)  # one large group, some of it below the likeness
+    texts += [" ".join(edited(rng, crowd, rng.randrange(9))) for _ in range(90)]
+    passage = fresh(80)  # a passage in many texts that are not alike
+    texts += [" ".join(passage + fresh(60)) for _ in range(60)]
+    return [*texts, texts[3], texts[3].upper(), "", None, "  ", "One two", "one  TWO"]
+
+
+@pytest.mark.parametrize("crowded", [1, 16])
+def test_groups_equal_brute_force(spark, crowded):
+    texts = corpus()
+    sets = [plain_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if like(sets[a], sets[b])]
+    want = roots(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = neardup.near_duplicates(docs, crowded=crowded).collect()
+    first = {}
+    for r in got:
+        first[r["root"]] = min(r["doc_id"], first.get(r["root"], r["doc_id"]))
+    assert {r["doc_id"]: first[r["root"]] for r in got} == want
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_stage_drops_planted_copies(spark):
+    texts = corpus()
+    sets = [plain_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if like(sets[a], sets[b])]
+    far = [p for p in pairs if ((simhash.simhash(texts[p[0]]) ^ simhash.simhash(texts[p[1]])) % 2**64).bit_count() > 3]
+    assert far  # pairs the thin rule of op2 does not see
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(roots(range(len(texts)), pairs).values())
