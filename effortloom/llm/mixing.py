@@ -5,7 +5,7 @@ the domains. Documents then get nonnegative rates - expected numbers of copies -
 domain come out at its target. Rates stay as near to one copy each as they can: the unknowns are as many as documents,
 the equations as few as domains.
 
-The fit is projected gradient descent on a least-squares objective, with the projection - no rate below zero - applied
+The fit is projected gradient descent on the dual of a least-squares objective, with the projection - no rate below zero - applied
 to the sum of all steps. One pass over the posteriors gives the few domain totals, the driver solves a system of that
 size for the step, and every rate moves by the dot product of the step and its posterior. Rates are never stored.
 """
@@ -25,6 +25,8 @@ from effortloom.session import pin
 
 #: Levels of a count of telling words: none, one, two or three, four to seven, and so on.
 LEVELS = 6
+#: A target counts as met when its domain comes this near to it, as a share of all tokens.
+MET = 1e-4
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -132,21 +134,35 @@ def fit_rates(
     posteriors: DataFrame,
     weights: Sequence[float],
     total: float | None = None,
-    repeat: float = 1.0,
+    repeat: float | None = None,
     tolerance: float = 1e-6,
-    passes: int = 30,
+    passes: int = 40,
 ) -> list[float]:
-    """The ``pull`` whose ``rate`` brings the expected tokens of the domains to ``weights`` of ``total``.
+    """The ``pull`` of ``fit`` alone."""
+    return fit(posteriors, weights, total, repeat, tolerance, passes)[0]
+
+
+def fit(
+    posteriors: DataFrame,
+    weights: Sequence[float],
+    total: float | None = None,
+    repeat: float | None = None,
+    tolerance: float = 1e-6,
+    passes: int = 40,
+) -> tuple[list[float], list[float]]:
+    """The ``pull`` whose ``rate`` brings the expected tokens of the domains to ``weights`` of ``total``, and the shares
+    that the domains then have.
 
     ``posteriors`` has ``_n`` and ``_p``. Without ``total`` it is the one at which the domain of the largest weight keeps
-    all its tokens. A domain is not asked for more than ``repeat`` times what it has: a scarce one falls short of its
-    weight rather than being copied many times over or making the others shrink with it.
-    The objective is the squared miss of the domain totals. Gradients of all rates are the posteriors times one short
-    vector, so their sum over the passes - the pull - is all that is kept, and the cut at zero is applied to it anew in
-    every pass. The step solves the miss by the token-weighted Gram matrix of the posteriors whose rates are not cut,
-    summed up in the same pass; a step that makes the miss larger is halved. Ends when every domain is within
-    ``tolerance`` of ``total``, when steps gain nothing more, or after ``passes``; the best pull found is returned. Rates
-    of this form are those nearest to one among all that give the same totals, counting a document by its tokens.
+    all its tokens. A scarce domain is raised by rates above one. Shares that no rates give - a weight beyond its share in
+    every document - are not met: then, or with ``repeat`` at once, a domain is asked for at most ``repeat`` (else one)
+    times what it has, rather than the rates running off. The shares tell.
+    The objective is the dual of being nearest to one copy each, counting a document by its tokens; its slope is the miss of
+    the domain totals. Gradients of all rates are the posteriors times one short vector, so their sum over the passes - the
+    pull - is all that is kept, and the cut at zero is applied to it anew in every pass. The step solves the miss by the
+    token-weighted Gram matrix of the posteriors whose rates are not cut, summed up in the same pass; a step that does not
+    lower the objective is halved. Ends when every domain is within ``tolerance`` of ``total`` or after ``passes``; the
+    pull with the smallest miss is returned.
     """
     k = len(weights)
     w = np.asarray(weights, dtype=float) / sum(weights)
@@ -155,43 +171,62 @@ def fit_rates(
     def p(j: int) -> Column:
         return F.get(F.col("_p"), F.lit(j))
 
-    def totals_and_gram(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums_at(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Domain totals, Gram matrix, token-weighted squares of the rates and the largest rate."""
         rows = posteriors.withColumn("_r", rate(pull)).withColumn("_a", F.when(F.col("_r") > 0, F.col("_n")).otherwise(0))
         sums = rows.agg(
-            *[F.sum(F.col("_n") * F.col("_r") * p(j)) for j in range(k)], *[F.sum(F.col("_a") * p(a) * p(b)) for a, b in pairs]
+            *[F.sum(F.col("_n") * F.col("_r") * p(j)) for j in range(k)],
+            *[F.sum(F.col("_a") * p(a) * p(b)) for a, b in pairs], F.sum(F.col("_n") * F.col("_r") * F.col("_r")),
+            F.max("_r"),
         ).first()
         gram = np.zeros((k, k))
-        for (a, b), x in zip(pairs, sums[k:], strict=True):
+        for (a, b), x in zip(pairs, sums[k:-2], strict=True):
             gram[a, b] = gram[b, a] = x or 0.0
-        return np.array([x or 0.0 for x in sums[:k]]), gram
+        return np.array([x or 0.0 for x in sums[:k]]), gram, sums[-2] or 0.0, sums[-1] or 0.0
 
-    pull = best_pull = np.zeros(k)
-    totals, gram = totals_and_gram(pull)
+    def solve(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Pull, totals and largest miss."""
+        at, (totals, gram, squares, _) = np.zeros(k), start
+        value = squares / 2
+        best = (at, totals, float(np.abs(totals - wanted).max()))
+        miss = totals - wanted
+        step = None
+        for _ in range(passes):
+            if best[2] <= tolerance * total:
+                break
+            if step is None:
+                step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k), hermitian=True) @ miss
+                if not step @ miss > 0:
+                    break
+            trial = at + step
+            totals, trial_gram, squares, most = sums_at(trial)
+            size = float(np.abs(totals - wanted).max())
+            if size < best[2]:
+                best = (trial, totals, size)
+            trial_value = squares / 2 + trial @ wanted
+            if most <= 1 and trial @ wanted < 0:
+                break  # this pull takes from no document less than nothing, yet from the goal: no rates give it
+            if trial_value <= value - 1e-4 * (step @ miss) + 1e-12 * abs(value):
+                at, gram, miss, value, step = trial, trial_gram, totals - wanted, trial_value, None
+            else:
+                step = step / 2
+        return best
+
+    start = sums_at(np.zeros(k))
+    totals = start[0]
     if not totals.sum():
-        return pull.tolist()
+        return [0.0] * k, [0.0] * k
     if total is None:
         total = float(totals[w.argmax()] / w.max())
-    wanted = np.minimum(total * w, repeat * totals)
-    miss = totals - wanted
-    best, step = np.inf, None
-    for _ in range(passes):
-        size = float(np.abs(miss).max())
-        if size < best:
-            gained = best - size
-            best, best_pull = size, pull
-            if size <= tolerance * total or gained <= 1e-9 * total:
-                break
-            step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k), hermitian=True) @ miss
-        else:
-            step = step / 2
-        pull = best_pull + step
-        totals, gram = totals_and_gram(pull)
-        miss = totals - wanted
-    return best_pull.tolist()
+    wanted = total * w if repeat is None else np.minimum(total * w, repeat * totals)
+    pull, sums, miss = solve(wanted)
+    if repeat is None and miss > MET * total:
+        pull, sums, _ = solve(np.minimum(wanted, totals))
+    return pull.tolist(), (sums / max(sums.sum(), 1e-300)).tolist()
 
 
 class Mix:
-    """The fitted mix of a table: classifier, posteriors (written) and pull."""
+    """The fitted mix of a table: classifier, posteriors (written), pull and ``shares``, those the domains reach."""
 
     def __init__(
         self,
@@ -201,14 +236,15 @@ class Mix:
         id_col: str = "doc_id",
         text_col: str = "text",
         total: float | None = None,
-        repeat: float = 1.0,
+        repeat: float | None = None,
         **settings,
     ):
         self.docs, self.domains, self.text_col = docs, list(targets), text_col
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.classifier = fit_classifier(plain, labelled.select("doc_id", "domain"), self.domains, **settings)
         self.posteriors = pin(with_posterior(plain, "text", self.classifier).select("doc_id", "_n", "_p"))
-        self.pull = fit_rates(self.posteriors, [targets[d] for d in self.domains], total, repeat)
+        self.pull, shares = fit(self.posteriors, [targets[d] for d in self.domains], total, repeat)
+        self.shares = dict(zip(self.domains, shares, strict=True))
 
     def _columns(self) -> list[Column]:
         each = [F.get(F.col("_p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(self.domains)]
