@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, mixing, neardup, packing, quality, simhash
+from effortloom.llm import lines, mixing, packing, quality, simhash
 from effortloom.llm.common import read
 from effortloom.llm.queries import TARGETS
 from effortloom.session import shared_folder
@@ -42,10 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates - texts linked by a likeness of five-word shingles of 0.8 or more: the
-    one with the smallest id. Of rows with that id the first text
-    by hash stays; a group without ids keeps its first text by hash."""
-    return simhash.one_each(docs, neardup.near_duplicates(docs))
+    """One document of each group that SimHash fingerprints of three-word shingles link at three bits or fewer: the one with
+    the smallest id. Of rows with that id the first text by hash stays; a group without ids keeps its first text by hash."""
+    return simhash.representatives(docs, shingle=3, distance=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
