@@ -267,10 +267,17 @@ class Mix:
         return with_posterior(rows, "_text", self.classifier).select("row", *self._columns())
 
 
-def copies(mixed: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
+def copies(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """The rows of the mix: a document comes as often as the whole part of its rate, and once more with the chance of
-    the rest, drawn by a digest of its id. Columns are those of the documents."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"row.`{id_col}`")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    the rest, drawn by a digest of its id and text. Columns are those of the documents.
+
+    Rows that share an id are drawn apart unless their texts are equal too; a NULL id or text counts as one more value.
+    The rated rows are written first: a filter on a rate that is still an expression would be pushed below the scoring
+    and repeat it for every use of a score.
+    """
+    mixed = pin(mixed)
+    digest = F.xxhash64(F.lit(seed), F.col(f"row.`{id_col}`"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string")))
+    draw = F.pmod(digest, F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.col("rate") + draw).cast("int")
     return mixed.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times)).alias("_t")).select("row.*")
 
