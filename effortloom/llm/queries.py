@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, minhash, mixing, packing, quality, secrets, shards, simhash, toxicity, wordpieces
+from effortloom.llm import lines, minhash, mixing, packing, phrases, quality, secrets, shards, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,55 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(read(spark, folder, "documents"), domains, TARGETS).rates()
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.collocations(read(spark, folder, "documents"), least=30, top=2000)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT id, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS no
+  FROM (SELECT id, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS p FROM d)
+), w AS (
+  SELECT lang, id, no, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT lang, id, no, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)
+), win AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER s AS w2, lead(word, 2) OVER s AS w3, lead(word, 3) OVER s AS w4
+  FROM w WINDOW s AS (PARTITION BY id, no ORDER BY pos)
+), f AS (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM win GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM win WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM win WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM win WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS k) k ON k.k < c.m
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k.k + 1:], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT c.lang, array_to_string(c.ws[s.s:s.s + q.q - 1], ' ') AS phrase, max(c.a) AS most
+  FROM c JOIN (SELECT unnest([2, 3]) AS q) q ON q.q < c.m JOIN (SELECT unnest([1, 2, 3]) AS s) s ON s.s + q.q - 1 <= c.m
+  GROUP BY ALL
+), alive AS (
+  SELECT scored.* FROM scored LEFT JOIN inner_phrases i ON i.lang = scored.lang AND i.phrase = scored.phrase
+  WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * scored.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alive
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -118,5 +167,6 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
