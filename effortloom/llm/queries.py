@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, minhash, mixing, packing, phrases, quality, secrets, shards, simhash, toxicity, wordpieces
+from effortloom.llm import lines, minhash, mixing, ngramjoin, packing, phrases, quality, secrets, shards, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(read(spark, folder, "documents"), domains, TARGETS).rates()
 
 
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under a likeness of three-word shingle sets of 0.9 or more."""
+    found = ngramjoin.near_duplicates(read(spark, folder, "documents"), shingle=3, likeness=(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     return phrases.collocations(read(spark, folder, "documents"), least=30, top=2000)
@@ -167,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op12_ngram_join": op12_ngram_join,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
