@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortloom.llm import lines, minhash, mixing, ngramjoin, packing, phrases, quality, secrets, shards, simhash, toxicity, wordpieces
+from effortloom.llm import lines, minhash, mixing, negatives, ngramjoin, packing, phrases, quality, secrets, shards, simhash, toxicity, wordpieces
 from effortloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,36 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(read(spark, folder, "documents"), domains, TARGETS).rates()
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, folder, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(rows, anchor="vec_id % 100 = 0", scale=256, positives=5, negatives=5, share=(80, 100))
+
+
+OP11_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, list_dot_product(a.q, x.q)::BIGINT AS score
+  FROM e a JOIN e x ON x.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), f AS (
+  SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id))::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM f WHERE rank <= 5
+"""
+
+
 def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under a likeness of three-word shingle sets of 0.9 or more."""
     found = ngramjoin.near_duplicates(read(spark, folder, "documents"), shingle=3, likeness=(90, 100))
@@ -173,7 +203,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_negatives": op11_negatives,
     "op12_ngram_join": op12_ngram_join,
     "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op11_negatives": OP11_SQL, "op13_collocations": OP13_SQL}
