@@ -40,7 +40,7 @@ LONGEST = 4
 #: Bits of a bitmap, as a power of two: two megabytes whatever the corpus.
 BITS = 24
 #: Words that a task gathers before it sums them up.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 
 _BREAK = b"\xff"  # never part of UTF-8
 _TABLE = bytes(
@@ -72,8 +72,24 @@ def _fold(start: np.uint64, parts: list[np.ndarray]) -> np.ndarray:
     return out >> np.uint64(64 - BITS)
 
 
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits numbered ``at`` are set."""
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+class _Numbers(dict):
+    """Words numbered as they come; the break between pieces is 0."""
+
+    def __init__(self):
+        super().__init__({_BREAK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def bitmap(phrases: DataFrame) -> np.ndarray:
-    """The hashes of ``phrases`` (lang, phrase) as a bitmap. Tasks send the 64-bit words they set, at most 2**18 of them in
+    """The hashes of ``phrases`` (lang, phrase) as a bitmap, eight bits a byte. Tasks send the 64-bit words they set, at most 2**18 of them in
     all, and the driver joins them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +106,25 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
     packed = np.zeros((1 << BITS) // 64, dtype=np.int64)
     table = parts.groupBy("at").agg(F.bit_or("part").alias("part")).toPandas()
     packed[table["at"].to_numpy()] = table["part"].to_numpy()
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _unique_windows(ids: np.ndarray, at: np.ndarray, m: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start of one occurrence and the count of every distinct window of ``m`` words that starts in ``at``."""
+    return packed.view(np.uint8)
+
+
+def _distinct(ids: np.ndarray, at: np.ndarray, m: int, numbers: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct windows of ``m`` words that start in ``at``, an array a place, and their counts."""
+    if m == 1:
+        counts = np.bincount(ids[at], minlength=numbers)
+        some = np.flatnonzero(counts)
+        return [some], counts[some]
+    if m == 2:
+        codes, counts = np.unique(ids[at] * numbers + ids[at + 1], return_counts=True)
+        return [codes // numbers, codes % numbers], counts
     codes = ids[at]
     for k in range(1, m):
         if k > 1:
             codes = np.unique(codes, return_inverse=True)[1]
         codes = codes * numbers + ids[at + k]
     _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-    return at[first], counts
+    return [ids[at[first] + k] for k in range(m)], counts
 
 
 def count_phrases(docs: DataFrame, m: int, wanted: list[list[tuple[int, int, np.ndarray]]]) -> DataFrame:
@@ -111,42 +134,38 @@ def count_phrases(docs: DataFrame, m: int, wanted: list[list[tuple[int, int, np.
     bitmap) asks that its words a to b - 1 are in the bitmap. With ``m`` 1 the number of all words comes along under a
     NULL phrase.
     """
-    share = docs.sparkSession.sparkContext.broadcast([[(a, b, np.packbits(bits, bitorder="little")) for a, b, bits in some] for some in wanted])
+    share = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [[(a, b, np.unpackbits(bits, bitorder="little").astype(bool)) for a, b, bits in some] for some in share.value]
-        gathered: dict[str, list[int]] = {}
-        numbers: dict[bytes, int] = {_BREAK: 0}
+        tests = share.value
+        gathered: dict[str, list[np.ndarray]] = {}
+        numbers = _Numbers()
 
         def summed() -> Iterator[pa.RecordBatch]:
             names = list(numbers)
-            hashes = _word_hash(names)
+            hashes = _word_hash(names) if tests else None
             for lang, some in gathered.items():
-                ids = np.array(some, dtype=np.int64)
+                ids = np.concatenate(some)
                 at = np.arange(max(len(ids) - m + 1, 0))
-                whole = np.ones(len(at), dtype=bool)
-                for k in range(m):
-                    whole &= ids[at + k] > 0
+                whole = ids[: len(at)] > 0
+                for k in range(1, m):
+                    whole &= ids[k : k + len(at)] > 0
                 at = at[whole]
                 if tests:
                     start, hit = _lang_hash(lang), np.zeros(len(at), dtype=bool)
                     for conditions in tests:
                         left = np.flatnonzero(~hit)
                         for a, b, bits in conditions:
-                            left = left[bits[_fold(start, [hashes[ids[at[left] + k]] for k in range(a, b)])]]
+                            left = left[_has(bits, _fold(start, [hashes[ids[at[left] + k]] for k in range(a, b)]))]
                         hit[left] = True
                     at = at[hit]
-                first, counts = _unique_windows(ids, at, m, len(names))
-                columns = [ids[first + k].tolist() for k in range(m)]
-                phrases = [names[i] for i in columns[0]] if m == 1 else [b" ".join([names[i] for i in row]) for row in zip(*columns, strict=True)]
-                texts = pa.array(phrases, pa.binary()).cast(pa.string())
-                counts = pa.array(counts.astype(np.int64))
+                columns, counts = _distinct(ids, at, m, len(names))
+                for cut in range(0, len(counts), 100_000):
+                    parts = [[names[i] for i in c[cut : cut + 100_000].tolist()] for c in columns]
+                    phrases = parts[0] if m == 1 else list(map(b" ".join, zip(*parts, strict=True)))
+                    yield _batch(lang, pa.array(phrases, pa.binary()).cast(pa.string()), counts[cut : cut + 100_000])
                 if m == 1:
-                    texts = pa.concat_arrays([texts, pa.nulls(1, pa.string())])
-                    counts = pa.concat_arrays([counts, pa.array([int((ids > 0).sum())], pa.int64())])
-                langs = pa.array([lang] * len(texts), pa.string())
-                for cut in range(0, len(texts), 100_000):
-                    yield pa.RecordBatch.from_arrays([x.slice(cut, 100_000) for x in (langs, texts, counts)], names=["lang", "phrase", "f"])
+                    yield _batch(lang, pa.nulls(1, pa.string()), np.array([(ids > 0).sum()]))
             gathered.clear()
             numbers.clear()
             numbers[_BREAK] = 0
@@ -157,11 +176,10 @@ def count_phrases(docs: DataFrame, m: int, wanted: list[list[tuple[int, int, np.
                 langs = batch.column(0).slice(at, 64).to_pylist()
                 texts = batch.column(1).slice(at, 64).cast(pa.binary()).to_pylist()
                 for lang, text in zip(langs, texts, strict=True):
-                    into = gathered.setdefault(lang, [])
                     found = tokens(text)
-                    into.extend([numbers.setdefault(w, len(numbers)) for w in found])
-                    into.append(0)
-                    size += len(found) + 1
+                    found.append(_BREAK)
+                    gathered.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                    size += len(found)
                     if size >= BLOCK:
                         yield from summed()
                         size = 0
@@ -171,6 +189,11 @@ def count_phrases(docs: DataFrame, m: int, wanted: list[list[tuple[int, int, np.
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array([lang] * len(phrases), pa.string())
+    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
+
+
 def _exact(x: str) -> str:
     return f"cast({x} as decimal(20,0))"
 
