@@ -191,10 +191,15 @@ def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _alive(rows: DataFrame) -> DataFrame:
-    """``rows`` (node, n, root, token) on the lists that hold two groups or more, with the ``size`` of the list."""
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    live = pin(lists.where("low != high").select("token", "size"))
+def _alive(rows: DataFrame, apart: bool = False) -> DataFrame:
+    """``rows`` (node, n, root, token) on the lists that hold two groups or more, with the ``size`` of the list; with
+    ``apart`` every node is a group."""
+    if apart:
+        lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    else:
+        ends = F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
+        lists = rows.groupBy("token").agg(*ends).where("low != high")
+    live = pin(lists.select("token", "size"))
     return pin(rows.drop("size").join(live, "token").select("token", "node", "n", "root", "size"))
 
 
@@ -322,34 +327,41 @@ def links(
         F.min("n").alias("n"), F.min("digest").alias("digest"), F.first("head").alias("head")
     )
     nodes = pin(nodes)
-    rows = _alive(nodes.select("node", "n", F.col("node").alias("root"), F.explode("head").alias("token")))
+    listed = nodes.select("node", "n", F.explode("head").alias("token"))
+    rows = _alive(listed.withColumn("root", F.col("node")), apart=True)
 
     def few_of_head(n: Column) -> Column:
         return 1 + F.floor(n / EXTRA)
 
     # only sets that meet others often enough can have a partner
     met = rows.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
-    able = pin(met.where(F.col("met") >= few_of_head(like.overlap_col(F.col("n")))).select("node"))
-    rows = _alive(rows.join(able, "node", "left_semi"))
-    sets = _sets(docs, nodes.join(able, "node", "left_semi").select("node", "digest"), text_col, shingle)
+    able = met.where(F.col("met") >= few_of_head(like.overlap_col(F.col("n")))).select("node")
+    rows = _alive(rows.join(able, "node", "left_semi"), apart=True)
+
+    def whole(some: DataFrame) -> DataFrame:
+        return _sets(docs, nodes.select("node", "digest").join(some, "node", "left_semi"), text_col, shingle)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = pin_python(pairs)
+        both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return _verified(pairs, whole(both), like)
 
     edges = None
     for few in (few_of_head, like.overlap_col):
         if not rows.where(F.col("size") > crowded).isEmpty():
-            found = _verified(_central(rows, like, few, crowded), sets, like)
+            found = links_of(_central(rows, like, few, crowded))
             edges = pin(found if edges is None else edges.union(found))
             rows = _alive(_rooted(rows, edges))
         heavy = pin(rows.where(F.col("size") > crowded).groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")))
-        pairs = pin_python(_search(rows, heavy.select("node", "c"), like, few, crowded))
-        found = _verified(pairs, sets, like)
+        found = links_of(_search(rows, heavy.select("node", "c"), like, few, crowded))
         edges = pin(found if edges is None else edges.union(found))
         left = pin(heavy.where(F.col("c") >= few(like.overlap_col(F.col("n")))).select("node", "n"))
         if left.isEmpty():
             return edges
-        whole = pin(_rooted(left.join(sets, "node"), edges))
+        sets = pin(_rooted(left.join(whole(left), "node"), edges))
         if few is few_of_head:
-            rows = _alive(whole.select("node", "n", "root", F.explode("s").alias("token")))
-    return edges.union(pin(_blocks(whole, like)))
+            rows = _alive(sets.select("node", "n", "root", F.explode("s").alias("token")))
+    return edges.union(pin(_blocks(sets, like)))
 
 
 def near_duplicates(
