@@ -143,7 +143,8 @@ class Best:
         place = np.arange(len(slot)) - begin
         keep = place < self.depth
         full = place == self.depth - 1
-        self.last[slot[full]] = score[full]
+        last = score[full].astype(np.float64)
+        self.last[slot[full]] = np.where(np.abs(last) < 2.0**53, last, np.nextafter(last, -np.inf))
         self.slot, self.score, self.id = slot[keep], score[keep], ids[keep]
 
 
@@ -231,7 +232,8 @@ def _positives(rows: DataFrame, portion: Portion, depth: int) -> np.ndarray:
 def _negatives(rows: DataFrame, portion: Portion, positives: np.ndarray, depth: int, share: tuple[int, int]) -> DataFrame:
     """``slot`` (a row of ``positives``), ``score``, ``id``, ``place`` of the best rows of other labels in the band of it."""
     owner, high = positives[:, 0], positives[:, 1]
-    low = -(-share[0] * high // share[1])  # least whole score in the band; above ``high`` where that is negative
+    # least whole score in the band, above ``high`` where that is negative; in two parts, so that it stays in 64 bits
+    low = share[0] * (high // share[1]) - (-share[0] * (high % share[1]) // share[1])
     first = np.searchsorted(owner, np.arange(len(portion.keys) + 1))
 
     def make(portion: Portion, best: Best):
