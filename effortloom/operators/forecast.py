@@ -1,4 +1,4 @@
-"""Forecasts of many series in one job: Box-Cox scale, linear trend plus calendar-month effect, back-tests."""
+"""Forecasts of many series in one job: Box-Cox scale, trend with changepoints and season, back-tests."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from effortloom.functions.numbers import ColumnLike, as_col, is_nonfinite, rnd
 from effortloom.operators.linear import fit_linear, predict_linear
 from effortloom.operators.ordered import attach
+from effortloom.operators.trend import apply_trend, fit_trend
 
 # The grid of Box-Cox powers in tenths, and the two-sided 90 % point of the standard normal.
 LAMBDA_TENTHS = range(-20, 21)
@@ -66,43 +67,6 @@ def future_months(df: DataFrame, keys: Sequence[str], months: int, date: str = "
     )
 
 
-def day_number(date: ColumnLike) -> Column:
-    """Years since 1970, the time axis of all trends."""
-    return F.datediff(as_col(date), F.lit("1970-01-01").cast("date")) / F.lit(365.25)
-
-
-def fit_trend(df: DataFrame, keys: Sequence[str], value: str, date: str = "date") -> tuple[DataFrame, DataFrame]:
-    """Trend per series and month effect per series and calendar month.
-
-    The first frame holds slope, intercept and the deviation ``sigma`` of what trend and month leave unexplained.
-    A series on a single day has a flat trend.
-    """
-    keys = list(keys)
-    known = df.where(F.col(value).isNotNull()).select(
-        *keys, day_number(date).alias("_t"), F.month(date).alias("_month"), F.col(value).cast("double").alias("_y")
-    )
-    line = known.groupBy(*keys).agg(
-        F.coalesce(F.regr_slope("_y", "_t"), F.lit(0.0)).alias("slope"), F.avg("_y").alias("_my"), F.avg("_t").alias("_mt")
-    )
-    line = line.select(*keys, "slope", (F.col("_my") - F.col("slope") * F.col("_mt")).alias("intercept"))
-    off = F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_t")
-    per_month = attach(known, line, keys).groupBy(*keys, "_month").agg(
-        F.avg(off).alias("effect"), (F.var_pop(off) * F.count(F.lit(1))).alias("_ss"), F.count(F.lit(1)).alias("_n")
-    )
-    noise = per_month.groupBy(*keys).agg(F.sqrt(F.sum("_ss") / F.sum("_n")).alias("sigma"))
-    return attach(line, noise, keys), per_month.select(*keys, F.col("_month").alias("month"), "effect")
-
-
-def apply_trend(
-    rows: DataFrame, trend: DataFrame, effects: DataFrame, keys: Sequence[str], date: str = "date", name: str = "yhat"
-) -> DataFrame:
-    """Point forecast of every row with a date; an unseen calendar month has no effect."""
-    dated = rows.withColumn("month", F.month(date))
-    joined = attach(attach(dated, trend, keys), effects, [*keys, "month"], "left")
-    value = F.col("intercept") + F.col("slope") * day_number(date) + F.coalesce("effect", F.lit(0.0))
-    return joined.withColumn(name, value).drop("month", "slope", "intercept", "effect")
-
-
 def forecast_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -115,14 +79,14 @@ def forecast_series(
     """History dates and the next month-ends with ``yhat`` in the unit of ``value`` (plus one unless ``undo_shift``).
 
     Values outside the range of the inverse take the mean of the last ``months - 12`` forecasts of the series, and a
-    constant series forecasts itself. ``interval`` adds the 90 % band.
+    constant series forecasts itself. ``interval`` adds the 90 % band, which widens with the distance from the history.
     """
     keys = list(keys)
     lams = boxcox_lambda(df, keys, value)
     scaled = attach(df.select(*keys, date, value), lams, keys).withColumn("_z", boxcox(F.col(value) + 1, "lam"))
-    trend, effects = fit_trend(scaled, keys, "_z", date)
+    model = fit_trend(scaled, keys, "_z", date)
     rows = df.select(*keys, date).distinct().unionByName(future_months(df, keys, months, date))
-    fitted = attach(apply_trend(rows, trend, effects, keys, date, "_zhat"), lams, keys)
+    fitted = attach(apply_trend(rows, model, keys, date, "_zhat", "_spread"), lams, keys)
     shift = 1 if undo_shift else 0
     back = fitted.withColumn("_raw", boxcox_inverse("_zhat", "lam") - shift)
     latest = Window.partitionBy(*keys).orderBy(F.col(date).desc())
@@ -136,7 +100,7 @@ def forecast_series(
     kept = [*keys, date, "yhat"]
     if interval:
         for name, sign in (("yhat_lower", -1.0), ("yhat_upper", 1.0)):
-            out = out.withColumn(name, boxcox_inverse(F.col("_zhat") + sign * Z90 * F.col("sigma"), "lam") - shift)
+            out = out.withColumn(name, boxcox_inverse(F.col("_zhat") + sign * Z90 * F.col("_spread"), "lam") - shift)
             kept.append(name)
     return out.select(*kept)
 
@@ -203,9 +167,9 @@ def backtest(
     per_series = cutoffs.groupBy(*keys).agg(F.collect_set("cutoff").alias("_cuts"))
     rows = attach(df, per_series, keys).withColumn("cutoff", F.explode("_cuts")).drop("_cuts")
     group = [*keys, "cutoff"]
-    trend, effects = fit_trend(rows.where(F.col(date) <= F.col("cutoff")), group, value, date)
+    model = fit_trend(rows.where(F.col(date) <= F.col("cutoff")), group, value, date)
     ahead = rows.where((F.col(date) > F.col("cutoff")) & (F.col(date) <= F.date_add("cutoff", horizon)))
-    return apply_trend(ahead, trend, effects, group, date, name).drop("sigma")
+    return apply_trend(ahead, model, group, date, name)
 
 
 def constant_series(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -1,30 +1,15 @@
-"""Ensembles: forests per key on the grouped tree; boosting and isotonic fits pooled over keys by MLlib."""
+"""Ensembles per key: forests on the grouped tree, boosting on its splits."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effortloom.operators.ordered import attach
-from effortloom.operators.tree import grouped_cart
-
-
-def _assembled(df: DataFrame, key: str | None, xs: Sequence[str], regressor, y: str, name: str) -> DataFrame:
-    stages, inputs = [], list(xs)
-    if key:
-        # a category takes a bin of its own
-        regressor.setMaxBins(max(64, df.select(key).distinct().count() + 1))
-        stages.append(StringIndexer(inputCol=key, outputCol="_key", stringOrderType="alphabetAsc"))
-        inputs.append("_key")
-    stages += [VectorAssembler(inputCols=inputs, outputCol="_features"), regressor]
-    regressor.setFeaturesCol("_features").setLabelCol(y).setPredictionCol(name)
-    fitted = Pipeline(stages=stages).fit(df)
-    return fitted.transform(df).drop("_features", "_key")
+from effortloom.operators.tree import best_splits, grouped_cart
+from effortloom.session import pin
 
 
 # The distribution function of a Poisson variable with mean one, which bootstrap counts tend to.
@@ -57,18 +42,31 @@ def random_forest(
 
 
 def gradient_boosting(
-    df: DataFrame, xs: Sequence[str], y: str, key: str | None = None, trees: int = 20, depth: int = 3, seed: int = 0,
-    name: str = "predicted",
+    df: DataFrame, keys: Sequence[str], identity: Sequence[str], xs: Sequence[str], y: str, trees: int = 20, depth: int = 3,
+    rate: float = 0.1, min_split: int = 2, name: str = "predicted", **kwargs,
 ) -> DataFrame:
-    model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-    return _assembled(df, key, xs, model, y, name)
-
-
-def isotonic(df: DataFrame, x: str, y: str, name: str = "predicted") -> DataFrame:
-    """Non-decreasing fit on one predictor. Copies of a predictor value become one weighted point first, which gives
-    the same fit, so the points MLlib gathers are the distinct values only."""
-    points = df.groupBy(F.col(x).cast("double").alias("_x")).agg(
-        F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    fitted = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol=name).fit(points)
-    return fitted.transform(df.withColumn("_x", F.col(x).cast("double"))).drop("_x")
+    """Least-squares boosting per key, all keys together: every round grows one small tree a key on what the rounds before
+    leave unexplained and adds ``rate`` times its leaf means. ``identity`` names a row within its key.
+
+    What travels from round to round is a table of identity, predictors and the fit so far; the splits and leaf means of a
+    round are a few rows a key, written and joined back. Keys whose target is constant end at their mean, NULL targets
+    take no part in the fit and are scored all the same.
+    """
+    keys, identity, xs = list(keys), list(identity), list(xs)
+    known = F.col("_y").isNotNull()
+    cells = [F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]
+    rows = df.select(*keys, *identity, *cells, F.col(y).cast("double").alias("_y"))
+    state = pin(attach(rows, rows.groupBy(*keys).agg(F.avg("_y").alias("_f")), keys))
+    inner = [f"_x{i}" for i in range(len(xs))]
+    for _ in range(trees):
+        rest = state.withColumn("_r", F.col("_y") - F.col("_f")).withColumn("_node", F.lit(1))
+        for _ in range(depth):
+            found = pin(best_splits(rest.where(known), [*keys, "_node"], inner, "_r", min_split, **kwargs))
+            value = F.get(F.array(*inner), F.col("feature"))
+            side = F.when(value > F.col("threshold"), F.lit(1)).otherwise(F.lit(0))
+            moved = F.when(F.col("feature").isNull(), F.col("_node")).otherwise(F.col("_node") * 2 + side)
+            rest = attach(rest, found, [*keys, "_node"], "left").withColumn("_node", moved).drop("feature", "threshold")
+        leaves = pin(rest.where(known).groupBy(*keys, "_node").agg(F.avg("_r").alias("_step")))
+        grown = attach(rest, leaves, [*keys, "_node"], "left")
+        state = pin(grown.withColumn("_f", F.col("_f") + rate * F.coalesce("_step", F.lit(0.0))).drop("_r", "_node", "_step"))
+    return attach(df, state.select(*keys, *identity, F.col("_f").alias(name)), [*keys, *identity], "left")

@@ -30,31 +30,58 @@ def lambda_sql(source: str, by: str, value: str) -> str:
         FROM (SELECT {by}, CAST({value} AS DOUBLE) + 1 AS x FROM {source}), ({_GRID}) GROUP BY {by}, lam) GROUP BY {by}"""
 
 
+# What the trend is made of: constant, time, ten changes of slope over the first 80 % of the history, five yearly pairs.
+_N_TERMS = 22
+_DAY = "date_diff('day', DATE '1970-01-01', {0})"
+
+
+def _terms_sql(day: str, first: str, span: str) -> str:
+    t = f"({day} - {first}) / {span}::DOUBLE"
+    turn = f"2 * pi() * {day} / 365.25::DOUBLE"
+    bends = ", ".join(f"greatest(0::DOUBLE, {t} - 0.8::DOUBLE * {j} / 11)" for j in range(1, 11))
+    waves = ", ".join(f"cos({k} * {turn}), sin({k} * {turn})" for k in range(1, 6))
+    return f"[1::DOUBLE, {t}, {bends}, {waves}]"
+
+
 def trend_ctes(source: str, by: str, value: str, prefix: str = "") -> dict[str, str]:
-    """Trend and month effect of ``value`` in ``source``."""
-    t = "date_diff('day', DATE '1970-01-01', date) / 365.25::DOUBLE"
-    on = " AND ".join(f"k.{c.strip()} = l.{c.strip()}" for c in by.split(","))
-    cols = ", ".join(f"k.{c.strip()}" for c in by.split(","))
+    """Trend of ``value`` in ``source``: the penalised normal equations, solved by Gauss-Jordan elimination, a column of the
+    system per step of a recursion."""
+    x = prefix
     return {
-        f"{prefix}known": f"SELECT {by}, {t} AS t, month(date) AS m, CAST({value} AS DOUBLE) AS y FROM {source}",
-        f"{prefix}line": f"""SELECT {by}, coalesce(regr_slope(y, t), 0) AS slope, avg(y) - coalesce(regr_slope(y, t), 0) * avg(t) AS intercept
-            FROM {prefix}known GROUP BY {by}""",
-        f"{prefix}effects": f"""SELECT {cols}, k.m, avg(y - intercept - slope * t) AS effect,
-            var_pop(y - intercept - slope * t) * count(*) AS ss, count(*) AS c
-            FROM {prefix}known k JOIN {prefix}line l ON {on} GROUP BY {cols}, k.m""",
-        f"{prefix}noise": f"SELECT {by}, sqrt(sum(ss) / sum(c)) AS sigma FROM {prefix}effects GROUP BY {by}",
+        f"{x}known": f"SELECT {by}, {_DAY.format('date')} AS d, CAST({value} AS DOUBLE) AS y FROM {source} WHERE {value} IS NOT NULL",
+        f"{x}span": f"SELECT {by}, min(d) AS d0, greatest(max(d) - min(d), 1) AS span, count(*) AS n FROM {x}known GROUP BY {by}",
+        f"{x}terms": f"SELECT {by}, n, y, list_append({_terms_sql('d', 'd0', 'span')}, y) AS f FROM {x}known JOIN {x}span USING ({by})",
+        f"{x}products": f"""SELECT {by}, i, j, sum(f[i] * f[j]) / any_value(n)
+            + CASE WHEN i <> j OR i = 1 THEN 0 WHEN i = 2 THEN 1e-6 ELSE 1e-3 END::DOUBLE AS v
+            FROM {x}terms, range(1, {_N_TERMS + 1}) a(i), range(1, {_N_TERMS + 2}) b(j) GROUP BY {by}, i, j""",
+        f"{x}solved": f"""WITH RECURSIVE g AS (
+              SELECT 1 AS k, {by}, i, j, v FROM {x}products
+              UNION ALL
+              SELECT k + 1, {by}, i, j, CASE WHEN i = k THEN v / corner ELSE v - below * beside / corner END FROM (
+                SELECT *, max(v) FILTER (i = k AND j = k) OVER (PARTITION BY {by}) AS corner,
+                  max(v) FILTER (j = k) OVER (PARTITION BY {by}, i) AS below, max(v) FILTER (i = k) OVER (PARTITION BY {by}, j) AS beside
+                FROM g WHERE k <= {_N_TERMS}))
+            SELECT {by}, list(v ORDER BY i) AS coef FROM g WHERE k = {_N_TERMS + 1} AND j = {_N_TERMS + 1} GROUP BY {by}""",
+        f"{x}trend": f"""SELECT {by}, s.d0, s.span, m.coef, u.sigma, list_avg(list_transform(m.coef[3:12], lambda c: abs(c))) AS jump
+            FROM {x}solved m JOIN {x}span s USING ({by}) JOIN (
+              SELECT {by}, sqrt(avg(power(y - list_dot_product(coef, f[1:{_N_TERMS}]), 2))) AS sigma FROM {x}terms JOIN {x}solved USING ({by}) GROUP BY {by}) u USING ({by})""",
     }
 
 
+def hat_sql(date: str, model: str = "m") -> str:
+    """Value of the trend ``model`` on a date."""
+    return f"list_dot_product({model}.coef, {_terms_sql(_DAY.format(date), model + '.d0', model + '.span')})"
+
+
 _SCALED = """SELECT e.project, e.date, CASE WHEN lam = 0 THEN ln(e_module + 1) ELSE (power(e_module + 1::DOUBLE, lam) - 1) / lam END AS z
     FROM release_effort e JOIN lams USING (project)"""
 _FUTURE = f"""SELECT project, CAST(last_day(date_trunc('month', d) + to_months(CAST(i AS INTEGER))) AS DATE) AS date FROM (
     SELECT project, max(date) AS d, unnest(range(1, {MONTHS + 1})) AS i FROM release_effort GROUP BY 1)"""
 _INV = "CASE WHEN lam = 0 THEN exp({0}) WHEN lam * ({0}) + 1 > 0 THEN power(lam * ({0}) + 1, 1 / lam) END"
-_HATS = f"""SELECT x.project, x.date, p.lam, n.sigma, l.intercept + l.slope * (date_diff('day', DATE '1970-01-01', x.date) / 365.25::DOUBLE) + coalesce(e.effect, 0) AS zhat
-    FROM (SELECT project, date FROM release_effort UNION ALL SELECT * FROM future) x JOIN line l ON l.project = x.project
-    JOIN noise n ON n.project = x.project JOIN lams p ON p.project = x.project
-    LEFT JOIN effects e ON e.project = x.project AND e.m = month(x.date)"""
+_HATS = f"""SELECT x.project, x.date, p.lam, {hat_sql('x.date')} AS zhat,
+      sqrt(m.sigma * m.sigma + 10 * 2 / 3::DOUBLE * m.jump * m.jump * power(greatest(0, ({_DAY.format('x.date')} - m.d0) / m.span::DOUBLE - 1), 3)) AS spread
+    FROM (SELECT project, date FROM release_effort UNION ALL SELECT * FROM future) x JOIN trend m ON m.project = x.project
+    JOIN lams p ON p.project = x.project"""
 _FILLED = f"""SELECT *, coalesce(inv, avg(inv) FILTER (age <= {MONTHS - 12}) OVER (PARTITION BY project)) AS yhat FROM (
     SELECT *, {_INV.format('zhat')} AS inv, row_number() OVER (PARTITION BY project ORDER BY date DESC) AS age FROM hats)"""
 SERIES_CTES = {
@@ -103,8 +130,8 @@ _Z90 = "1.6448536269514722"
 
 @query(
     "forecast_interval",
-    sql(f"""SELECT project, CAST(date AS VARCHAR) AS date, {r(_INV.format(f'zhat - {_Z90} * sigma'), 4)} AS yhat_lower,
-            {r(_INV.format(f'zhat + {_Z90} * sigma'), 4)} AS yhat_upper FROM hatted""", **SERIES_CTES),
+    sql(f"""SELECT project, CAST(date AS VARCHAR) AS date, {r(_INV.format(f'zhat - {_Z90} * spread'), 4)} AS yhat_lower,
+            {r(_INV.format(f'zhat + {_Z90} * spread'), 4)} AS yhat_upper FROM hatted""", **SERIES_CTES),
 )
 def forecast_interval(spark, d):
     out = forecast.forecast_series(_series(spark, d), ["project"], "e_module", MONTHS, interval=True)
@@ -134,9 +161,9 @@ EFFORT_CTES = {
     **trend_ctes("fscaled", _BY, "z", "f"),
     "ffuture": f"""SELECT project, task, variable, CAST(last_day(date_trunc('month', d) + to_months(CAST(i AS INTEGER))) AS DATE) AS date FROM (
         SELECT project, task, variable, max(date) AS d, unnest(range(1, {MONTHS + 1})) AS i FROM long GROUP BY 1, 2, 3)""",
-    "fhats": f"""SELECT x.*, p.lam, l.intercept + l.slope * (date_diff('day', DATE '1970-01-01', x.date) / 365.25::DOUBLE) + coalesce(e.effect, 0) AS zhat
-        FROM (SELECT DISTINCT project, task, variable, date FROM long UNION ALL SELECT * FROM ffuture) x JOIN fline l ON {_F.format('l')}
-        JOIN flams p ON {_F.format('p')} LEFT JOIN feffects e ON {_F.format('e')} AND e.m = month(x.date)""",
+    "fhats": f"""SELECT x.*, p.lam, {hat_sql('x.date')} AS zhat
+        FROM (SELECT DISTINCT project, task, variable, date FROM long UNION ALL SELECT * FROM ffuture) x JOIN ftrend m ON {_F.format('m')}
+        JOIN flams p ON {_F.format('p')}""",
     "fhatted": f"""SELECT *, coalesce(inv, avg(inv) FILTER (age <= {MONTHS - 12}) OVER (PARTITION BY {_BY})) AS yhat FROM (
         SELECT *, {_INV.format('zhat')} AS inv, row_number() OVER (PARTITION BY {_BY} ORDER BY date DESC) AS age FROM fhats)""",
     "drivers": """SELECT project, task, date, CAST(CAST(coalesce(max(yhat) FILTER (variable = 'nt_ec'), 0) AS FLOAT) AS DOUBLE) AS nt_ec,
@@ -182,10 +209,9 @@ _BACK = {
         FROM (SELECT project, min(date) AS a, max(date) AS b FROM release_effort GROUP BY 1) WHERE date_diff('day', a, b) >= 365 + 1825""",
     "past": "SELECT e.project, c.cutoff, e.date, e.e_module AS z FROM release_effort e JOIN cutoffs c ON c.project = e.project WHERE e.date <= c.cutoff",
     **trend_ctes("past", "project, cutoff", "z", "b"),
-    "tested": """SELECT e.project, c.cutoff, e.date, e.e_module, l.intercept + l.slope * (date_diff('day', DATE '1970-01-01', e.date) / 365.25::DOUBLE) + coalesce(f.effect, 0) AS yhat
+    "tested": f"""SELECT e.project, c.cutoff, e.date, e.e_module, {hat_sql('e.date')} AS yhat
         FROM release_effort e JOIN cutoffs c ON c.project = e.project AND e.date > c.cutoff AND e.date <= c.cutoff + 365
-        JOIN bline l ON l.project = c.project AND l.cutoff = c.cutoff
-        LEFT JOIN beffects f ON f.project = c.project AND f.cutoff = c.cutoff AND f.m = month(e.date)""",
+        JOIN btrend m ON m.project = c.project AND m.cutoff = c.cutoff""",
 }
 
 

@@ -10,6 +10,7 @@ from effortloom.functions.special import norm_ppf
 from effortloom.operators import (
     clean, correlate, costs, export, folds, linear, metrics, models, neighbors, ordered, pipeline, scale, summary, tree,
 )
+from effortloom.operators import isotonic as monotone
 from effortloom.operators.calendar import business_calendar, business_hours, previous_date
 from effortloom.operators.releases import SERIES_ORDER
 from effortloom.plans import standins as s
@@ -677,9 +678,34 @@ def random_forest(spark, d):
     return rounded(metrics.error_metrics(out, KEYS), ["mae", "mse", "rmse"], 4)
 
 
-@query("gbt")
+BOOST_ROUNDS, BOOST_DEPTH = 8, 3
+
+
+def boost_ctes(start: str, group: str, xs: list[str], y: str, rounds: int, depth: int, rate: str) -> dict[str, str]:
+    """Boosting round by round: a tree on the residuals, then the fit moved by ``rate`` times its leaf means."""
+    same = " AND ".join(f"a.{g.strip()} = z.{g.strip()}" for g in group.split(","))
+    out = {"m_b0": f"SELECT *, avg({y}) OVER (PARTITION BY {group}) AS f, true AS is_train FROM {start}"}
+    for k in range(rounds):
+        out[f"m_q{k}"] = f"SELECT *, {y} - f AS res FROM m_b{k}"
+        out |= {n: c.replace(f"nt >= {tree.MIN_SPLIT}", "nt >= 2") for n, c in cart_ctes(f"m_q{k}", group, xs, "res", f"m_g{k}", depth).items()}
+        out[f"m_v{k}"] = f"SELECT {group}, node, avg(res) AS step FROM m_g{k}_r{depth} GROUP BY ALL"
+        out[f"m_b{k + 1}"] = f"""SELECT a.* EXCLUDE (res, node, f), f + {rate} * z.step AS f FROM m_g{k}_r{depth} a
+            JOIN m_v{k} z ON {same} AND a.node = z.node"""
+    return out
+
+
+@query(
+    "gbt",
+    sql(
+        f"""SELECT project, task, {r('avg(abs(y - f))', 4)} AS mae, {r('avg(power(y - f, 2))', 4)} AS mse, {r('sqrt(avg(power(y - f, 2)))', 4)} AS rmse
+        FROM m_b{BOOST_ROUNDS} GROUP BY 1, 2""",
+        m_boost=_FOREST, **boost_ctes("m_boost", "project, task", _X, "y", BOOST_ROUNDS, BOOST_DEPTH, "0.3::DOUBLE"),
+    ),
+)
 def gbt(spark, d):
-    out = models.gradient_boosting(_pooled(spark, d), ["nt_ec", "no_ec", "t_ec", "t_line_p"], "y", "project")
+    """Boosted trees per project and task: in-sample errors."""
+    xs = ["nt_ec", "no_ec", "t_ec", "t_line_p"]
+    out = models.gradient_boosting(_pooled(spark, d), KEYS, ["version"], xs, "y", BOOST_ROUNDS, BOOST_DEPTH, 0.3, bounded=True)
     return rounded(metrics.error_metrics(out, KEYS), ["mae", "mse", "rmse"], 4)
 
 
@@ -687,16 +713,18 @@ def gbt(spark, d):
 @query(
     "isotonic",
     sql(
-        f"""SELECT x AS nt_ec, {r('max(low)')} AS predicted, any_value(c) AS n FROM (
-            SELECT p.x, p.c, a.x AS start, min((b.sy - a.sy + a.y) / (b.sc - a.sc + a.c)) AS low
-            FROM steps p JOIN steps a ON a.x <= p.x JOIN steps b ON b.x >= p.x GROUP BY 1, 2, 3) GROUP BY 1""",
-        steps="""SELECT nt_ec AS x, count(*) AS c, CAST(sum(line_ec) AS DOUBLE) AS y, sum(count(*)) OVER (ORDER BY nt_ec) AS sc,
-                 CAST(sum(sum(line_ec)) OVER (ORDER BY nt_ec) AS DOUBLE) AS sy FROM filled GROUP BY 1""",
+        f"""SELECT project, task, x AS nt_ec, {r('max(low)')} AS predicted, any_value(c) AS n FROM (
+            SELECT p.project, p.task, p.x, p.c, a.x AS start, min((b.sy - a.sy + a.y) / (b.sc - a.sc + a.c)) AS low
+            FROM steps p JOIN steps a ON a.project = p.project AND a.task = p.task AND a.x <= p.x
+            JOIN steps b ON b.project = p.project AND b.task = p.task AND b.x >= p.x GROUP BY ALL) GROUP BY 1, 2, 3""",
+        steps="""SELECT project, task, nt_ec AS x, count(*) AS c, CAST(sum(line_ec) AS DOUBLE) AS y, sum(count(*)) OVER w AS sc,
+                 CAST(sum(sum(line_ec)) OVER w AS DOUBLE) AS sy FROM filled GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY project, task ORDER BY nt_ec)""",
     ),
 )
 def isotonic(spark, d):
-    out = models.isotonic(_pooled(spark, d), "nt_ec", "y")
-    fitted = out.groupBy("nt_ec").agg(F.max("predicted").alias("predicted"), F.count(F.lit(1)).alias("n"))
+    """Monotone fit of external lines on external commits per project and task."""
+    out = monotone.isotonic(_pooled(spark, d), KEYS, "nt_ec", "y")
+    fitted = out.groupBy(*KEYS, "nt_ec").agg(F.max("predicted").alias("predicted"), F.count(F.lit(1)).alias("n"))
     return rounded(fitted, ["predicted"])
 
 

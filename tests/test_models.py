@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from effortloom.operators import correlate, folds, linear, metrics, models, neighbors, pipeline, tree
+from effortloom.operators import correlate, folds, isotonic, linear, metrics, models, neighbors, pipeline, tree
 from tests.test_ordered import uniform
 
 RNG = np.random.default_rng(11)
@@ -166,24 +166,93 @@ def test_few_rows_have_few_neighbours(spark):
     assert {r["predicted"] for r in neighbors.knn_regress(part, ["g"], ["i"], ["a"], "y").collect()} == {3.0}
 
 
-def test_isotonic_equals_min_max_formula(spark, frame, df):
-    got = models.isotonic(df, "a", "y").groupBy("a").agg(F.max("predicted").alias("p")).orderBy("a").toPandas()
-    xs = sorted(frame["a"].unique())
-    sums, counts = frame.groupby("a")["y"].sum(), frame.groupby("a")["y"].count()
-    mean = lambda lo, hi: sums.loc[lo:hi].sum() / counts.loc[lo:hi].sum()
-    want = [max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs]
-    assert np.allclose(got["p"], want)
+def min_max_fit(frame, x, y):
+    """The closed form of a monotone fit, by predictor value: the largest over starts of the smallest mean up to an end."""
+    points = frame.groupby(x)[y].agg(["sum", "count"]).sort_index()
+    s, w = (np.concatenate(([0.0], points[c].cumsum())) for c in ("sum", "count"))
+    n = len(points)
+    means = np.array([[(s[b] - s[a]) / (w[b] - w[a]) if b > a else np.inf for b in range(1, n + 1)] for a in range(n)])
+    least = np.minimum.accumulate(means[:, ::-1], axis=1)[:, ::-1]  # over ends at or after a point
+    return {v: least[: k + 1, k].max() for k, v in enumerate(points.index)}
 
 
-def test_pooled_models_beat_the_mean(df):
-    out = models.gradient_boosting(df, ["a", "b"], "y", "g")
-    assert out.agg(metrics.r_squared("y", "predicted")).first()[0] > 0.8
+@pytest.mark.parametrize("points_per_range", [7, 500_000])
+def test_isotonic_equals_min_max_formula(spark, frame, df, points_per_range):
+    out = isotonic.isotonic(df, ["g"], "a", "y", points_per_range=points_per_range)
+    got = out.toPandas()
+    assert len(got) == len(frame)
+    for g, part in frame.groupby("g"):
+        want = min_max_fit(part, "a", "y")
+        mine = got[got["g"] == g]
+        assert np.allclose(mine["predicted"], [want[v] for v in mine["a"]])
+
+
+def test_isotonic_with_a_hot_key_and_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(i), float(300 - i if 100 < i < 250 else i + rng.integers(-20, 20))) for i in range(400)]
+    rows += [("down", float(i), float(-i)) for i in range(90)] + [("up", float(i), float(i)) for i in range(90)]
+    rows += [(None, float(i % 5), float(i)) for i in range(20)] + [("one", 1.0, 2.0), ("hot", None, 1.0), ("hot", 399.5, None), ("gone", 1.0, None)]
+    table = pd.DataFrame(rows, columns=["g", "x", "y"])
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(6)
+    out = isotonic.isotonic(df, ["g"], "x", "y", points_per_range=13).toPandas()
+    assert len(out) == len(rows)
+    blocks = isotonic.isotonic_blocks(df, ["g"], "x", "y", 13).toPandas()
+    for g in ("hot", "down", "up", None, "one"):
+        pick = (lambda t: t["g"].isna()) if g is None else (lambda t, g=g: t["g"] == g)
+        part = table[pick(table)].dropna(subset=["x", "y"])
+        want = min_max_fit(part, "x", "y")
+        mine = out[pick(out)].dropna(subset=["x", "y"])
+        assert np.allclose(mine["predicted"], [want[v] for v in mine["x"]]), g
+        assert len(blocks[pick(blocks)]) == len({round(v, 9) for v in want.values()})
+    assert out[out["x"] == 399.5]["predicted"].iloc[0] == out[out["x"] == 399.0]["predicted"].iloc[0]
+    assert out[out["g"] == "gone"]["predicted"].isna().all() and out[out["x"].isna()]["predicted"].isna().all()
+    assert isotonic.isotonic(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def boosted(part, xs, y, trees, depth, rate, min_split=2):
+    """Plain least-squares boosting on one key."""
+    x, target = part[xs].to_numpy(float), part[y].to_numpy(float)
+    fit = np.full(len(part), target.mean())
+
+    def grow(at, rest, left):
+        def sse(some):
+            return ((rest[some] - rest[some].mean()) ** 2).sum()
+
+        best = None
+        if left and len(at) >= min_split and sse(at) > 1e-12 * (rest[at] ** 2).sum():
+            for f in range(len(xs)):
+                values = np.unique(x[at, f])
+                for cut in (values[1:] + values[:-1]) / 2:
+                    low = x[at, f] <= cut
+                    gain = round((sse(at) - sse(at[low]) - sse(at[~low])) / sse(at), 10)
+                    if best is None or gain > best[0]:
+                        best = (gain, low)
+        if best is None:
+            fit[at] += rate * rest[at].mean()
+            return
+        grow(at[best[1]], rest, left - 1)
+        grow(at[~best[1]], rest, left - 1)
+
+    for _ in range(trees):
+        grow(np.arange(len(part)), target - fit, depth)
+    return fit
+
+
+def test_boosting_equals_plain_boosting(spark, frame, df):
+    out = models.gradient_boosting(df, ["g"], ["i"], ["a", "b"], "y", trees=4, depth=2, rate=0.3).toPandas()
+    assert len(out) == len(frame)
+    for g, part in frame.groupby("g"):
+        mine = out[out["g"] == g].set_index("i").loc[part["i"]]
+        assert np.allclose(mine["predicted"], boosted(part, ["a", "b"], "y", 4, 2, 0.3)), g
 
 
-def test_pooled_models_take_many_keys(spark):
-    many = spark.createDataFrame([(f"p{i % 90}", float(i % 7), float(i % 7 * 3)) for i in range(900)], "g string, a double, y double")
-    out = models.gradient_boosting(many, ["a"], "y", "g", trees=2)
-    assert out.count() == 900
+def test_boosting_takes_many_keys_and_odd_rows(spark):
+    rows = [(f"p{i % 3000}", i, float(i % 7), float(i % 7 * 3)) for i in range(18000)] + [("p1", 99999, 3.0, None), ("flat", 1, 1.0, 4.0), ("flat", 2, 2.0, 4.0), ("none", 1, 1.0, None)]
+    many = spark.createDataFrame(rows, "g string, i int, a double, y double")
+    out = models.gradient_boosting(many, ["g"], ["i"], ["a"], "y", trees=2, depth=2)
+    assert out.count() == len(rows)
+    odd = {(r["g"], r["i"]): r["predicted"] for r in out.where("y IS NULL OR g = 'flat'").collect()}
+    assert odd["flat", 1] == 4.0 and odd["none", 1] is None and odd["p1", 99999] is not None
 
 
 def test_forest_per_key_beats_the_mean(df):
