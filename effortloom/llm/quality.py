@@ -1,12 +1,13 @@
-"""Quality rules: divergence of a document's histograms from language references.
+"""Quality rules: divergence of a document's histograms from the reference of its language.
 
 Two histograms describe a text: its characters by class, and its words by common word (all others in one bucket). The
-references are the same histograms summed over the corpus by language, every distinct text once, so a group of
-thousands of copies cannot bend them. A document is kept when, for some reference, the Jensen-Shannon distances of both
-histograms are small; short texts have noisy histograms, so the bounds widen with the inverse root of the length, and
-texts under a minimum length fail without being measured.
+reference of a language is the same pair summed over its documents, every distinct text once, so a group of thousands
+of copies cannot bend it. A document is kept when the Jensen-Shannon distances of both histograms from the reference of
+its own language are small; short texts have noisy histograms, so the bounds widen with the inverse root of the length,
+and texts under a minimum length fail without being measured. What other languages the table holds changes nothing.
 
-Three passes: common words by a mergeable heavy-hitter summary, one row of counts per document (written), the verdict.
+Three passes: candidates for common words by a mergeable heavy-hitter summary, one row of counts per document
+(written), the verdict. Candidates and references are tables with one row per language, joined on it.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ CLASSES: tuple[bytes, ...] = (
     SYMBOLS,
 )
 EDGES = b".,;:!?\"'()"
-#: A common word is at least this share of the words of its language.
+#: A common word is at least this share of the words of the distinct texts of its language.
 COMMON_SHARE = 0.0025
 #: Counters of a heavy-hitter summary: no word above 1/SUMMARY of the words is lost.
 SUMMARY = 4000
-#: A language with less than this share of all words has no reference of its own.
-LANGUAGE_SHARE = 0.01
-#: Nor has one with fewer distinct texts: a handful of texts would be compared with themselves.
-LANGUAGE_TEXTS = 20
+#: A candidate is at least this share of the words of all rows. No common word is missed while copies make up less than
+#: four fifths of a language; beyond that a missed word counts with the rare ones.
+CANDIDATE_SHARE = COMMON_SHARE / 5
+#: Words of distinct texts from which on a language has a reference. Documents of smaller ones pass unmeasured.
+REFERENCE_WORDS = 5000
 
 
 def _class_of_byte() -> np.ndarray:
@@ -117,16 +119,14 @@ def heavy_words(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def common_words(docs: DataFrame) -> list[str]:
-    """Common words of every language with a reference of its own. At most 1/COMMON_SHARE words of each of at most
-    1/LANGUAGE_SHARE languages, so the list is bounded whatever the corpus."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """``lang``, ``words``: the words of a language that may be common, sorted and joined by blanks, which no word holds.
+    At most 1 / (CANDIDATE_SHARE - 1 / SUMMARY) words a language."""
     heavy = pin_python(heavy_words(docs))
     totals = heavy.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    large = totals.where(F.col("total") >= LANGUAGE_SHARE * everything)
-    sure = F.col("n") >= (COMMON_SHARE - 1 / SUMMARY) * F.col("total")
-    words = heavy.where("word IS NOT NULL").join(F.broadcast(large), "lang").where(sure).select("word").distinct()
-    return sorted(r["word"] for r in words.collect())
+    sure = F.col("n") >= (CANDIDATE_SHARE - 1 / SUMMARY) * F.col("total")
+    words = heavy.where("word IS NOT NULL").join(totals, "lang").where(sure)
+    return pin(words.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("words")))
 
 
 COUNTS = (
@@ -135,17 +135,23 @@ COUNTS = (
 )
 
 
-def document_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id``, ``lang``, ``digest`` and the counts of every document (``docs``: doc_id, lang, digest, text)."""
+def document_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``lang``, ``digest`` and the counts of every document (``docs``: doc_id, lang, digest, text, words);
+    ``common`` are places in ``words``, the candidates of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w.encode(): k for k, w in enumerate(vocabulary)}
+        numbers: dict[str, dict[bytes, int]] = {}
         table, blanks = _class_of_byte(), CLASSES.index(b" \t\n\x0b\f\r")
         signs = CLASSES.index(SYMBOLS)
         for batch in batches:
             rows: list[tuple] = []
+            langs = batch.column(1).to_pylist()
+            for at, lang in enumerate(langs):
+                if lang not in numbers:
+                    numbers[lang] = {w.encode(): k for k, w in enumerate((batch.column(4)[at].as_py() or "").split(" "))}
             for at in range(0, batch.num_rows, 64):
-                for text in batch.column(3).slice(at, 64).to_pylist():
+                for lang, text in zip(langs[at : at + 64], batch.column(3).slice(at, 64).to_pylist(), strict=True):
+                    number = numbers[lang]
                     data = (text or "").encode()
                     words = data.split()
                     classes = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256) @ table
@@ -166,47 +172,42 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
             names = ["doc_id", "lang", "digest", *[c.split()[0] for c in COUNTS.split(", ")]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
 
-    return docs.select("doc_id", "lang", "digest", "text").mapInArrow(run, f"doc_id bigint, lang string, digest bigint, {COUNTS}")
+    return docs.select("doc_id", "lang", "digest", "text", "words").mapInArrow(run, f"doc_id bigint, lang string, digest bigint, {COUNTS}")
 
 
-def references(counts: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Class and word histograms of the corpus and of every language with a share of it, a row each; the first row is
-    the whole corpus. Every distinct text counts once."""
+def references(counts: DataFrame) -> DataFrame:
+    """``lang``, ``total`` (words), ``classes`` (``at``, ``n``), ``common`` (``at``, ``n``): the class histogram and the common words of
+    every language of REFERENCE_WORDS words or more. Every distinct text counts once."""
     once = counts.groupBy("lang", "digest").agg(
         F.first("n_words").alias("n_words"), F.first("classes").alias("classes"), F.first("common").alias("common"), F.first("times").alias("times")
     )
     cells = F.flatten(
         F.array(
-            F.array(
-                F.struct(F.lit(-1).alias("at"), F.col("n_words").alias("n")),
-                F.struct(F.lit(-2).alias("at"), F.lit(1).cast("long").alias("n")),
-            ),
-            F.transform("classes", lambda n, i: F.struct((F.lit(-3) - i).alias("at"), n.alias("n"))),
+            F.array(F.struct(F.lit(-1).alias("at"), F.col("n_words").alias("n"))),
+            F.transform("classes", lambda n, i: F.struct((F.lit(-2) - i).alias("at"), n.alias("n"))),
             F.arrays_zip(F.col("common").alias("at"), F.col("times").alias("n")),
         )
     )
     sums = pin(once.select("lang", F.explode(cells).alias("c")).groupBy("lang", "c.at").agg(F.sum("c.n").alias("n")))
-    totals = sums.where("at = -1").select("lang", F.col("n").alias("total"))
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    texts = sums.where("at = -2").select("lang", F.col("n").alias("texts"))
-    large = totals.join(texts, "lang").where(
-        (F.col("lang") != "") & (F.col("total") >= LANGUAGE_SHARE * everything) & (F.col("texts") >= LANGUAGE_TEXTS)
-    ).select("lang")
-    whole = sums.groupBy("at").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("all"), "at", "n")
-    each = sums.join(F.broadcast(large), "lang").select("lang", F.lit(False).alias("all"), "at", "n")
-    rows: dict[tuple, dict[int, int]] = {}
-    for r in whole.union(each).collect():  # at most 1 + 1 / LANGUAGE_SHARE references of bounded length
-        rows.setdefault((not r["all"], r["lang"] or ""), {})[r["at"]] = r["n"]
-    classes = np.zeros((len(rows), len(CLASSES) + 2))
-    words = np.zeros((len(rows), len(vocabulary) + 1))
-    for k, name in enumerate(sorted(rows)):
-        for at, n in rows[name].items():
-            if at < -2:
-                classes[k, -3 - at] = n
-            elif at >= 0:
-                words[k, at] = n
-        words[k, -1] = rows[name].get(-1, 0) - words[k].sum()
-    return _shares(classes), _shares(words)
+    totals = sums.where((F.col("at") == -1) & (F.col("n") >= REFERENCE_WORDS)).select("lang", F.col("n").alias("total"))
+    part = F.struct("at", "n")
+    return pin(
+        sums.join(totals, "lang").groupBy("lang", "total").agg(
+            F.collect_list(F.when(F.col("at") < -1, F.struct((F.lit(-2) - F.col("at")).alias("at"), "n"))).alias("classes"),
+            F.collect_list(F.when((F.col("at") >= 0) & (F.col("n") >= COMMON_SHARE * F.col("total")), part)).alias("common"),
+        )
+    )
+
+
+def _reference(total: int, classes: list[dict], common: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Class shares, word shares (the last for all other words), and the word column of each common candidate."""
+    by_class = np.zeros((1, len(CLASSES) + 2))
+    for c in classes:
+        by_class[0, c["at"]] = c["n"]
+    common = sorted(common, key=lambda c: c["at"])
+    by_word = np.array([[c["n"] for c in common]], dtype=float).reshape(1, -1)
+    by_word = np.column_stack([by_word, [total - by_word.sum()]])
+    return _shares(by_class)[0], _shares(by_word)[0], {c["at"]: k for k, c in enumerate(common)}
 
 
 def _shares(x: np.ndarray) -> np.ndarray:
@@ -237,53 +238,61 @@ def judge(
     ``n_repeat_words``, ``digest`` (xxhash64 of the text), ``base_failed``, ``class_distance``, ``word_distance``, ``kept``.
 
     ``base_failed``: under ``min_words`` words, or over half the words in three-word windows that occur twice or more.
-    ``kept`` is false then; else it is true if one reference - any large language or the whole corpus - is within
+    ``kept`` is false then; else it is true if the reference of the document's language is within
     ``max_class_distance + class_slack / sqrt(n_words)`` by characters and within
-    ``max_word_distance + word_slack / sqrt(n_words)`` by words. The distances given are those of the reference that
-    fits best. A NULL text has no words. Rows with equal ids are judged
-    one by one, and a NULL language is none of the references. An empty table gives an empty result.
+    ``max_word_distance + word_slack / sqrt(n_words)`` by words, or if the language has too few words (REFERENCE_WORDS, of
+    documents that do not fail) for a reference; the distances are NULL then. Documents without a language, NULL or empty,
+    are measured as a language of their own. A NULL text has no words. Rows with equal ids are judged one by one. An empty
+    table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"),
     )
-    vocabulary = common_words(rows)
-    counts = pin_python(document_counts(rows, vocabulary))
+    counts = pin_python(document_counts(rows.join(candidates(rows), "lang", "left")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed)
-    class_refs, word_refs = references(counts.where(~F.col("base_failed")), vocabulary)
-
+    measures = references(counts.where(~F.col("base_failed")))
     limits, slacks = np.array([max_class_distance, max_word_distance]), np.array([class_slack, word_slack])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple | None] = {}
         for batch in batches:
-            out: list[np.ndarray] = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n = part.column(1).to_numpy(zero_copy_only=False)
-                classes = np.array(part.column(3).to_pylist(), dtype=float).reshape(len(n), -1)
-                words = np.zeros((len(n), len(vocabulary) + 1))
-                for k, (common, times) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
-                    words[k, common] = times
-                words[:, -1] = n - words.sum(axis=1)
-                allowed = limits + slacks / np.sqrt(np.maximum(n, 1))[:, None]
-                best = np.full((len(n), 2), np.inf)
-                for by_class, by_word in zip(class_refs, word_refs, strict=True):
-                    d = np.column_stack([js_distance(_shares(classes), by_class), js_distance(_shares(words), by_word)])
-                    better = (d / allowed).max(axis=1) < (best / allowed).max(axis=1)
-                    best[better] = d[better]
-                out.append(np.column_stack([best, (best <= allowed).all(axis=1)]))
-            found = np.concatenate(out) if out else np.zeros((0, 3))
-            verdict = pa.array((found[:, 2] > 0) & ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            own = [batch.column(k) for k in (0, 1, 2, 6, 7, 8, 9, 10)]
-            names = ["doc_id", "n_words", "base_failed", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest"]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(found[:, 0]), pa.array(found[:, 1]), verdict], names=[*names, "class_distance", "word_distance", "kept"]
-            )
-
-    used = ["doc_id", "n_words", "base_failed", "classes", "common", "times", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest"]
-    return counts.select(*used).mapInArrow(
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            sizes = batch.column(1).to_numpy(zero_copy_only=False)
+            distances = np.full((batch.num_rows, 2), np.nan)
+            for lang in set(langs):
+                where = np.flatnonzero(langs == lang)
+                if lang not in known:
+                    total, of_classes, of_words = (batch.column(k)[int(where[0])].as_py() for k in (5, 6, 7))
+                    known[lang] = None if total is None else _reference(total, of_classes, of_words)
+                if known[lang] is None:
+                    continue
+                by_class, by_word, column = known[lang]
+                for at in range(0, len(where), 256):
+                    some = where[at : at + 256]
+                    part = batch.select([2, 3, 4]).take(pa.array(some))
+                    words = np.zeros((len(some), len(by_word)))
+                    for k, (common, times) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                        for c, n in zip(common, times, strict=True):
+                            if c in column:
+                                words[k, column[c]] = n
+                    words[:, -1] = sizes[some] - words.sum(axis=1)
+                    classes = np.array(part.column(0).to_pylist(), dtype=float).reshape(len(some), -1)
+                    distances[some, 0] = js_distance(_shares(classes), by_class)
+                    distances[some, 1] = js_distance(_shares(words), by_word)
+            allowed = limits + slacks / np.sqrt(np.maximum(sizes, 1))[:, None]
+            near = ~(distances > allowed).any(axis=1)
+            verdict = pa.array(near & ~batch.column(8).to_numpy(zero_copy_only=False).astype(bool))
+            measured = [pa.array(d, mask=np.isnan(d)) for d in distances.T]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *batch.columns[8:], *measured, verdict], names=names)
+
+    own = ["n_words", "base_failed", "doc_id", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest"]
+    names = [*own, "class_distance", "word_distance", "kept"]
+    refs = measures.withColumnsRenamed({"classes": "_classes", "common": "_common"})
+    used = counts.join(refs, "lang", "left").select("lang", "n_words", "classes", "common", "times", "total", "_classes", "_common", *own[1:])
+    return used.mapInArrow(
         run,
-        "doc_id bigint, n_words bigint, base_failed boolean, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+        "n_words bigint, base_failed boolean, doc_id bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
         "n_repeat_words bigint, digest bigint, class_distance double, word_distance double, kept boolean",
-    )
+    ).select("doc_id", *[c for c in names if c != "doc_id"])
