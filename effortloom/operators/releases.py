@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effortloom.operators.ordered import ordered
-from effortloom.session import pin
 
 SERIES_ORDER = ("date", "t_line", "version")
 
@@ -37,40 +35,6 @@ def assign_release(commits: DataFrame, releases: DataFrame, key: str = "project"
     return commits.join(found, [key, date], "left")
 
 
-def commits_of_ranges(tags: DataFrame, parents: DataFrame) -> DataFrame:
-    """Exact ancestry rule: commits reachable from a tag but not from the tag before it.
-
-    ``tags`` (project, version, sha, previous_sha); ``parents`` (project, sha, parent). One step walks a generation
-    of all ranges of all projects at once. Each generation is a pinned table of the commits first seen there; the
-    seen ones are re-pinned as one table from time to time, so the plan stays short. The walk ends by
-    itself at any depth, because no commit is taken up twice for a range.
-    """
-    compact = 16
-    name = ["project", "version", "sha", "wanted"]
-    starts = tags.select("project", "version", "sha", F.lit(True).alias("wanted")).unionByName(
-        tags.where(F.col("previous_sha").isNotNull()).select(
-            "project", "version", F.col("previous_sha").alias("sha"), F.lit(False).alias("wanted")
-        )
-    )
-    edges = parents.where(F.col("parent").isNotNull()).select("project", "sha", "parent")
-    frontier = pin(starts.distinct())
-    seen = frontier
-    for step in itertools.count(1):
-        older = (
-            frontier.join(edges, ["project", "sha"])
-            .select("project", "version", F.col("parent").alias("sha"), "wanted")
-            .distinct()
-        )
-        frontier = pin(older.join(seen, name, "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if step % compact == 0:
-            seen = pin(seen)
-    found = seen.groupBy("project", "version", "sha").agg(F.bool_and("wanted").alias("wanted"))
-    return found.where("wanted").drop("wanted")
-
-
 def tag_pairs(tags: DataFrame, key: str = "project", bounded: bool = False) -> DataFrame:
     """Consecutive releases (from, to) of a project; the first release opens no pair."""
     paired = ordered(tags, [key], ["date", "version"], previous={"from_version": "version"}, bounded=bounded)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from effortloom.operators import classify, export, releases, reviews, roles
+from effortloom.operators import ancestry, classify, export, releases, reviews, roles
 from effortloom.operators.calendar import previous_date
 from effortloom.operators.ordered import ordered
 from effortloom.plans import standins as s
 from effortloom.plans.registry import query
 from effortloom.plans.standins import big, case_rank, case_task, sql
+from effortloom.session import pin
 from effortloom.sources.tables import load
 
 _NAMES = "['BUG', 'DOCS', 'REFACTOR', 'OTHER']"
@@ -153,6 +154,38 @@ def assign_release(spark, d):
     return releases.assign_release(made, tags).select("sha", "version")
 
 
+@query(
+    "commits_of_ranges",
+    """WITH RECURSIVE c AS (SELECT o_orderkey AS sha, o_orderpriority AS project, strftime(o_orderdate, '%Y-%m') AS version,
+             row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders),
+             e AS (SELECT project, n, greatest(n - 4, 0) AS p FROM c WHERE n > 0
+                   UNION SELECT project, n, n - 1 FROM c WHERE n > 0 AND n % 12 = 0
+                   UNION SELECT project, n, n - 6 FROM c WHERE n % 20 = 6),
+             t AS (SELECT project, version, max(n) AS n FROM c GROUP BY 1, 2),
+             g AS (SELECT *, lag(n) OVER (PARTITION BY project ORDER BY version) AS old FROM t),
+             a(project, tag, n) AS (SELECT project, n, n FROM t
+                   UNION SELECT a.project, a.tag, e.p FROM a JOIN e ON e.project = a.project AND e.n = a.n)
+        SELECT g.project, g.version, c.sha FROM g JOIN a ON a.project = g.project AND a.tag = g.n
+        JOIN c ON c.project = a.project AND c.n = a.n
+        LEFT JOIN a b ON b.project = g.project AND b.tag = g.old AND b.n = a.n WHERE b.n IS NULL""",
+)
+def commits_of_ranges(spark, d):
+    """Four lines of work take turns at the commits of a project: the fourth is merged into the first every twelve
+    commits, the first into the third every twenty. The tag of a month is its newest commit."""
+    made = s.commits(spark, d).select("project", "sha", "version")
+    made = pin(ordered(made, ["project"], ["sha"], position="n"))
+    n = F.col("n")
+    older = F.array(
+        F.struct(F.lit(0).alias("place"), F.when(n > 0, F.greatest(n - 4, F.lit(0))).alias("n")),
+        F.struct(F.lit(1).alias("place"), F.when((n > 0) & (n % 12 == 0), n - 1).when(n % 20 == 6, n - 6).alias("n")),
+    )
+    asked = made.select("project", "sha", F.explode(older).alias("p")).select("project", "sha", "p.place", "p.n").where("n IS NOT NULL")
+    parents = asked.join(made.select("project", "n", F.col("sha").alias("parent")), ["project", "n"])
+    newest = made.groupBy("project", "version").agg(F.max("sha").alias("sha"))
+    tags = ordered(newest, ["project"], ["version"], previous={"previous_sha": "sha"}, bounded=True)
+    return ancestry.commits_of_ranges(tags, parents)
+
+
 @query(
     "tag_pairs",
     sql("""SELECT * FROM (SELECT project, lag(version) OVER (PARTITION BY project ORDER BY date, version) AS from_version,

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from effortloom.operators import calendar, classify, costs, export, releases, reviews, roles
+from effortloom.operators import ancestry, calendar, classify, costs, export, releases, reviews, roles
 
 D = dt.date
 
@@ -101,7 +101,7 @@ def test_ancestry_of_a_range(spark):
     # 1 <- 2 <- 3 <- 5 with a side branch 2 <- 4 <- 5; tags: a at 3, b at 5
     edges = spark.createDataFrame([("p", 1, None), ("p", 2, 1), ("p", 3, 2), ("p", 4, 2), ("p", 5, 3), ("p", 5, 4)], "project string, sha int, parent int")
     tags = spark.createDataFrame([("p", "a", 3, None), ("p", "b", 5, 3)], "project string, version string, sha int, previous_sha int")
-    got = rows(releases.commits_of_ranges(tags, edges), "version", "sha")
+    got = rows(ancestry.commits_of_ranges(tags, edges), "version", "sha")
     assert got == [("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5)]
 
 
