@@ -25,6 +25,10 @@ from effortloom.session import pin
 
 #: Levels of a count of telling words: none, one, two or three, four to seven, and so on.
 LEVELS = 6
+#: One row in so many of the labelled sample is kept from the classifier and calibrates it.
+HELD_OUT = 4
+#: Strength of the pull of the calibration towards the scores as they are, in rows of average length.
+STIFFNESS = 1.0
 #: A target counts as met when its domain comes this near to it, as a share of all tokens.
 MET = 1e-4
 
@@ -55,6 +59,12 @@ class Classifier:
     def __init__(self, domains: list[str], telling: list[list[str]], base: np.ndarray, tables: list[np.ndarray]):
         self.domains, self.telling, self.base, self.tables = domains, telling, base, tables
 
+    def calibrated(self, turn: np.ndarray, shift: np.ndarray) -> Classifier:
+        """The classifier whose scores are ``turn`` times those of this one plus ``shift``: as scores are sums of table entries,
+        so are these."""
+        tables = [t @ turn.T for t in self.tables]
+        return Classifier(self.domains, self.telling, turn @ self.base + shift, tables)
+
     def scores(self) -> Column:
         def score(d: int) -> Column:
             parts = [F.get(F.array(*[F.lit(float(x)) for x in t[:, d]]), F.get(F.col("_m"), F.lit(k))) for k, t in enumerate(self.tables)]
@@ -68,6 +78,58 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), operator.add))
 
 
+def calibration(scores: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``turn`` and ``shift`` such that the softmax of ``turn @ score + shift`` is likeliest for the labels: a multinomial
+    logistic fit on the centred scores by Newton steps, rows counted by ``weight``. Its first conditions make the weighted
+    posteriors of a domain sum to the weight that carries its label, up to the ridge towards the scores as they are."""
+    rows, k = scores.shape
+    centre = np.eye(k) - 1 / k
+    x = np.column_stack([scores @ centre, np.ones(rows)])
+    start = np.column_stack([np.eye(k), np.zeros(k)])
+    w = weight / max(weight.mean(), 1e-300) if rows else weight
+    seen = np.eye(k)[label]
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ beta.T
+        z -= z.max(axis=1, keepdims=True)
+        logs = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return float(-(w * logs[np.arange(rows), label]).sum() + STIFFNESS / 2 * ((beta - start) ** 2).sum()), np.exp(logs)
+
+    beta = start
+    value, p = at(beta)
+    for _ in range(50 if rows else 0):
+        slope = ((p - seen) * w[:, None]).T @ x + STIFFNESS * (beta - start)
+        curve = STIFFNESS * np.eye(beta.size)
+        for a in range(k):
+            for b in range(k):
+                some = x.T @ (x * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
+                curve[a * (k + 1) : (a + 1) * (k + 1), b * (k + 1) : (b + 1) * (k + 1)] += some
+        step = np.linalg.solve(curve, slope.ravel()).reshape(beta.shape)
+        size = 1.0
+        while size > 1e-6 and (trial := at(beta - size * step))[0] > value - 1e-4 * size * (slope * step).sum():
+            size /= 2
+        if size <= 1e-6 or value - trial[0] <= 1e-10 * abs(value):
+            break
+        beta, (value, p) = beta - size * step, trial
+    return beta[:, :k] @ centre, beta[:, k]
+
+
+def labelled_sample(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int) -> DataFrame:
+    """``domain``, ``text`` and ``held`` of at most ``max_labelled`` pairs of id and text, chosen by a digest of both.
+
+    The bound holds for rows: texts that share an id count each, equal rows once. Of several labels of an id the first by
+    name holds. One row in ``HELD_OUT`` is held out, by another digest.
+    """
+    known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
+    marks = known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    pairs = docs.select("doc_id", F.xxhash64("text").alias("_t")).join(marks, "doc_id").distinct()
+    pairs = pairs.orderBy(F.xxhash64("doc_id", "_t"), "doc_id", "_t").limit(max_labelled)
+    pairs = pin(pairs)  # its size is bounded, so it may be broadcast
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id", "_t"), F.lit(HELD_OUT)) == 0
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).join(F.broadcast(pairs), ["doc_id", "_t"])
+    return texts.dropDuplicates(["doc_id", "_t"]).select("domain", "text", held.alias("held"))
+
+
 def fit_classifier(
     docs: DataFrame,
     labelled: DataFrame,
@@ -76,15 +138,15 @@ def fit_classifier(
     vocabulary: int = 200,
     least_documents: int = 5,
 ) -> Classifier:
-    """Fit on at most ``max_labelled`` rows of ``labelled`` (doc_id, domain), chosen by a digest of the id.
+    """Fit on at most ``max_labelled`` rows of ``labelled`` (doc_id, domain), see ``labelled_sample``, and calibrate on the
+    rows held out, counted by their tokens, so that the posteriors' tokens are those of the labels.
 
-    Telling words of a domain are those of ``least_documents`` sampled documents or more whose rate in it exceeds their
-    rate elsewhere by most standard errors, four at least; ``vocabulary`` a domain. ``docs`` has doc_id and text.
+    Telling words of a domain are those of ``least_documents`` sampled documents or more that occur in it more often than
+    elsewhere by a signed root of the likelihood ratio of four at least, the largest first; ``vocabulary`` a domain.
+    ``docs`` has doc_id and text.
     """
-    known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
-    ids = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    ids = pin(ids)  # its size is bounded, so it may be broadcast
-    sample = pin(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("domain", "text"))
+    both = pin(labelled_sample(docs, labelled, domains, max_labelled))
+    sample = both.where("not held")
 
     def each(name: str) -> list[Column]:
         return [F.count(F.when(F.col("domain") == d, 1)).alias(f"{name}{k}") for k, d in enumerate(domains)]
@@ -97,25 +159,33 @@ def fit_classifier(
     )
     counts = pin(counts)
     telling: list[list[str]] = []
-    pooled = F.col("c") / F.lit(max(total, 1.0))
     for k, n in enumerate(sizes):
-        rest = total - n
-        if not n or not rest:
+        if not n or n == total:
             telling.append([])
             continue
-        apart = F.col(f"c{k}") / F.lit(n) - (F.col("c") - F.col(f"c{k}")) / F.lit(rest)
-        z = apart / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n + 1 / rest) + F.lit(1e-12))
-        best = counts.select("word", z.alias("z")).where("z >= 4").orderBy(F.desc("z"), "word").limit(vocabulary)
-        telling.append([r["word"] for r in best.collect()])
-    marked = with_marks(with_words(sample, "text"), "text", telling)
-    seen = marked.select("domain", F.posexplode("_m").alias("mark", "value")).groupBy("mark", "value").agg(*each("c")).collect()
+        here, chance = F.col(f"c{k}"), F.col("c") * F.lit(n / total)
+        root = F.sqrt(2 * (here * F.log(here / chance) - (here - chance)))
+        best = counts.where(here > chance).select("word", root.alias("z")).where("z >= 4")
+        telling.append([r["word"] for r in best.orderBy(F.desc("z"), "word").limit(vocabulary).collect()])
+    marked = with_marks(with_words(both, "text"), "text", telling).select("domain", "held", "_n", "_m")
+    marked = pin(marked)
+    seen = marked.where("not held").select("domain", F.posexplode("_m").alias("mark", "value"))
     widths = [LEVELS] * len(domains) + [11, 21]
     tables = [np.ones((width, len(domains))) for width in widths]
-    for r in seen:
+    for r in seen.groupBy("mark", "value").agg(*each("c")).collect():
         tables[r["mark"]][r["value"]] += [r[f"c{k}"] for k in range(len(domains))]
-    return Classifier(
+    raw = Classifier(
         domains, telling, np.log((sizes + 1) / (total + len(domains))), [np.log(t / t.sum(axis=0)) for t in tables]
     )
+    # equal scores are one row: at most max_labelled / HELD_OUT of them, each a few numbers
+    held = marked.where("held").select(raw.scores().alias("s"), "domain", "_n").groupBy("s", "domain").agg(F.sum("_n").alias("n")).collect()
+    if not held:
+        return raw
+    return raw.calibrated(
+        *calibration(
+            np.array([r["s"] for r in held]), np.array([domains.index(r["domain"]) for r in held]), np.array([r["n"] for r in held], dtype=float)
+        )
+    )
 
 
 def with_posterior(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
@@ -240,6 +310,7 @@ class Mix:
         **settings,
     ):
         self.docs, self.domains, self.text_col = docs, list(targets), text_col
+        self.targets = {d: t / sum(targets.values()) for d, t in targets.items()}
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.classifier = fit_classifier(plain, labelled.select("doc_id", "domain"), self.domains, **settings)
         self.posteriors = pin(with_posterior(plain, "text", self.classifier).select("doc_id", "_n", "_p"))
@@ -248,10 +319,32 @@ class Mix:
 
     def _columns(self) -> list[Column]:
         each = [F.get(F.col("_p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(self.domains)]
-        return [F.col("_n").alias("n_tokens"), *each, rate(self.pull).alias("rate")]
+        reached = [F.lit(float(self.shares[d])).alias(f"share_{d}") for d in self.domains]
+        return [F.col("_n").alias("n_tokens"), *each, rate(self.pull).alias("rate"), *reached]
+
+    def report(self, labelled: DataFrame) -> DataFrame:
+        """One row a domain: ``target`` and ``expected`` share, and by the labels (of all labelled rows, not of a sample) the
+        documents, those of rate zero, and the share of the labelled tokens before and after mixing."""
+        marks = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(self.domains))
+        marks = marks.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+        rows = self.posteriors.withColumn("_r", rate(self.pull)).join(marks, "doc_id")
+        sums = rows.groupBy("domain").agg(
+            F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("_r") == 0, 1)).alias("left_out"),
+            F.sum("_n").cast("double").alias("_before"), F.sum(F.col("_n") * F.col("_r")).alias("_after"),
+        )
+        found = {r["domain"]: r for r in sums.collect()}  # a row a domain
+        before, after = (sum(r[c] for r in found.values()) for c in ("_before", "_after"))
+        out = [
+            (d, t, float(self.shares[d]), *((r["documents"], r["left_out"]) if (r := found.get(d)) else (0, 0)),
+             r["_before"] / before if r and before else None, r["_after"] / after if r and after else None)
+            for d, t in self.targets.items()
+        ]
+        columns = "domain string, target double, expected double, documents bigint, left_out bigint, labelled_before double, labelled_after double"
+        return self.docs.sparkSession.createDataFrame(out, columns)
 
     def rates(self) -> DataFrame:
-        """``doc_id``, ``n_tokens``, ``p_<domain>`` for every domain and ``rate`` of every row.
+        """``doc_id``, ``n_tokens``, ``p_<domain>`` for every domain and ``rate`` of every row, and ``share_<domain>``, the same in
+        all rows: the expected share of the tokens that the domain reaches, its target unless no rates give it.
 
         NULL and empty texts have no tokens and a posterior from the absence of words. Rows with equal ids and texts get the
         same rate. Labels of other domains, without a domain or without an id are ignored; with no labels at all every

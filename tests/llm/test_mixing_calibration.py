@@ -1,0 +1,87 @@
+"""Posteriors that agree with held-out labels, and what the mix reports of them."""
+
+import random
+
+import numpy as np
+import pytest
+
+from effortloom.llm import mixing
+
+DOMAINS = ["clean", "toxic"]
+
+
+def test_calibration_against_plain_descent():
+    rng = np.random.default_rng(4)
+    truth = rng.integers(0, 3, 600)
+    scores = rng.normal(size=(600, 3)) * 2 + 6 * np.eye(3)[truth]
+    label = np.where(rng.random(600) < 0.2, 0, truth)  # the scores are far surer than the labels bear out
+    weight = rng.integers(1, 50, 600).astype(float)
+    turn, shift = mixing.calibration(scores, label, weight)
+    z = scores @ turn.T + shift
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert weight @ p == pytest.approx(weight @ np.eye(3)[label], rel=0.01)
+    # slow gradient descent on the same objective
+    x = np.column_stack([scores - scores.mean(axis=1, keepdims=True), np.ones(600)])
+    start = np.column_stack([np.eye(3), np.zeros(3)])
+    beta, w = start.copy(), weight / weight.mean()
+    for _ in range(30_000):
+        z = x @ beta.T
+        q = np.exp(z - z.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        beta -= 2e-4 * (((q - np.eye(3)[label]) * w[:, None]).T @ x + mixing.STIFFNESS * (beta - start))
+    assert p == pytest.approx(q, abs=1e-3)
+    # without rows the scores stay as they are, up to a common shift
+    turn, shift = mixing.calibration(np.zeros((0, 3)), np.zeros(0, dtype=int), np.zeros(0))
+    assert np.diff(turn @ [1.0, 4.0, 9.0]) == pytest.approx([3, 5]) and not shift.any()
+
+
+def corpus(n=6000, seed=8):
+    """Documents of which a tenth is toxic; three in ten of these show no sign of it."""
+    rng, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        words = ["w" + str(rng.randrange(400)) for _ in range(rng.randrange(40, 120))]
+        toxic = rng.random() < 0.1
+        if toxic and rng.random() < 0.7:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = rng.choice(["nasty", "ugly", "vile"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, DOMAINS[toxic]))
+    return rows, labels
+
+
+def test_labels_held_back_lie_near_the_targets(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, domain string")
+    targets = {"clean": 94, "toxic": 6}
+    mix = mixing.Mix(docs, marks.where("doc_id % 2 = 0"), targets)
+    back = marks.where("doc_id % 2 = 1")
+    report = {r["domain"]: r for r in mix.report(back).collect()}
+    assert [report[d]["target"] for d in DOMAINS] == [0.94, 0.06]
+    assert [report[d]["expected"] for d in DOMAINS] == pytest.approx([0.94, 0.06], abs=1e-4)
+    assert report["toxic"]["labelled_after"] == pytest.approx(0.06, rel=0.35)
+    assert report["toxic"]["labelled_after"] < report["toxic"]["labelled_before"]
+    assert report["toxic"]["left_out"] < report["toxic"]["documents"] / 2
+    # the same in plain numbers
+    label, got = dict(labels), [r for r in mix.rates().collect() if r["doc_id"] % 2]
+    after = {d: sum(r["n_tokens"] * r["rate"] for r in got if label[r["doc_id"]] == d) for d in DOMAINS}
+    for d in DOMAINS:
+        assert report[d]["documents"] == sum(label[r["doc_id"]] == d for r in got)
+        assert report[d]["labelled_after"] == pytest.approx(after[d] / sum(after.values()))
+        assert {r[f"share_{d}"] for r in got} == {report[d]["expected"]}
+    none = {r["domain"]: r for r in mix.report(marks.limit(0)).collect()}
+    assert none["toxic"]["documents"] == 0 and none["toxic"]["labelled_after"] is None
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    rows = [(1, f"text {i}") for i in range(300)] + [(1, "same")] * 200 + [(None, "x"), (2, None), (3, "three"), (4, "four")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, "toxic"), (1, "clean"), (2, "clean"), (3, "other"), (4, None), (None, "clean")], "doc_id bigint, domain string")
+    assert mixing.labelled_sample(docs, marks, DOMAINS, 50).count() == 50
+    every = mixing.labelled_sample(docs, marks, DOMAINS, 1000).collect()
+    assert len(every) == 302 and {r["domain"] for r in every} == {"clean"}
+    assert 40 < sum(r["held"] for r in every) < 115
+    # neither order nor repeats of the rows change the draw
+    again = mixing.labelled_sample(docs.union(docs).repartition(7), marks, DOMAINS, 50)
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.labelled_sample(docs, marks, DOMAINS, 50).collect()))
