@@ -47,6 +47,29 @@ def test_constant_predictor_gets_no_slope(frame, df):
         assert np.allclose(r["coef"], [want[0], want[1], 0.0])
 
 
+def test_large_close_values_keep_their_digits(spark):
+    """Values about 1e9 that differ by units: differences of raw sums would keep none of their digits."""
+    rng = np.random.default_rng(5)
+    n = 900
+    out = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, "small", "hot"), "i": np.arange(n)})
+    out["a"], out["b"] = 1e9 + rng.integers(0, 50, n), 3e8 + rng.integers(0, 9, n)
+    out["y"] = 2.5 * (out["a"] - 1e9) - 4 * (out["b"] - 3e8) + 7
+    out["level"] = 1e9 + 0.1
+    df = spark.createDataFrame(out).repartition(7)
+    for r in linear.fit_linear(df, ["g"], ["a", "b", "level"], "y").collect():
+        assert r["coef"][1:] == pytest.approx([2.5, -4, 0], rel=1e-8, abs=1e-8)
+    rows = folds.kfold_assign(df, ["g"], ["i"], bounded=True)
+    for r in linear.solve_moments(linear.fold_moments(rows, ["g"], ["a", "b", "level"], "y"), 3).collect():
+        assert r["coef"][1:] == pytest.approx([2.5, -4, 0], rel=1e-8, abs=1e-8)
+    got = linear.cv_predict(rows, ["g"], ["a", "b"], "y").toPandas()
+    assert np.allclose(got["predicted"], got["y"], atol=1e-4)
+    best = linear.ridge_cv(rows, ["g"], ["a", "b"], "y", [1e-9, 1000.0]).collect()
+    assert {r["alpha"] for r in best} == {1e-9}
+    for r in best:  # the held-out error of an exact law is nothing beside the spread of its values
+        y = out[out["g"] == r["g"]]["y"]
+        assert abs(r["sse"]) < 1e-8 * ((y - y.mean()) ** 2).sum()
+
+
 def held_out(part, predict):
     part = part.sort_values("i")
     out = np.empty(len(part))
