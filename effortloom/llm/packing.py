@@ -43,17 +43,14 @@ def token_pieces(
         encoder = Encoder.shared(tokenizer)
         for batch in batches:
             columns: list[list[int]] = [[], [], [], [], []]
-            ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 64):
-                packed = encoder.encode(batch.column(1).slice(at, 64).to_pylist())
-                for doc, tokens in zip(ids[at : at + 64], packed, strict=True):
-                    tokens += closing
-                    for piece, begin in enumerate(range(0, len(tokens), step)):
-                        part = tokens[begin : begin + step]
-                        for column, value in zip(
-                            columns, (doc, piece, begin // 4, len(part) // 4, zlib.crc32(part)), strict=True
-                        ):
-                            column.append(value)
+            for doc, tokens in zip(batch.column(0).to_pylist(), encoder.packed(batch.column(1)), strict=True):
+                tokens += closing
+                for piece, begin in enumerate(range(0, len(tokens), step)):
+                    part = tokens[begin : begin + step]
+                    for column, value in zip(
+                        columns, (doc, piece, begin // 4, len(part) // 4, zlib.crc32(part)), strict=True
+                    ):
+                        column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
